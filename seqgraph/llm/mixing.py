@@ -106,7 +106,7 @@ def select(docs: DataFrame, planned: DataFrame, domain: Column, seed: int) -> Da
     """`docs` once for each epoch that takes the row, with a column epoch (from 1)."""
     docs = docs.drop("epoch")
     leaves = planned.select(*_KEYS, F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
-    rows = docs.select("*", *_leaf(domain)).join(leaves, list(_KEYS))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", *_leaf(domain)).join(leaves, list(_KEYS))
     more = F.coalesce(_place(seed, F.col("_epochs") + 1) <= F.col("_last"), F.lit(False)).cast("int")
     rows = rows.withColumn("_times", F.col("_epochs") + more).where("_times > 0")
-    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns, "epoch")
+    return rows.select("_row.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("epoch"))

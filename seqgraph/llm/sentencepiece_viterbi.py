@@ -156,7 +156,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     with open(model_path, "rb") as f:
         proto = spark.sparkContext.broadcast(f.read())
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_encoded(proto), docs.withColumn("ids", F.array().cast("array<int>")).schema)
+    return docs.mapInArrow(_encoded(proto), docs.withColumn("ids", F.lit(None).cast("array<int>")).schema)
 
 
 def _decoded(proto, digest: bool):

@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
@@ -197,12 +197,9 @@ def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESH
 
     Of rows that repeat that doc_id, the first by its other columns is kept.
     """
-    from pyspark.sql import Window
-
     found = near_duplicates(docs, shingle=shingle, threshold=threshold).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rest = [c for c in kept.columns if c != "doc_id"]
-    first = kept.join(repeated, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*rest))).where("_rank = 1").drop("_rank")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(first).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    # the join leaves the rows dealt by doc_id, so ranking repeats of an id moves no text again
+    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c != "doc_id"]
+    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("row.doc_id").orderBy(*rest))).where("rank = 1").select("row.*")
+    return first.unionByName(docs.where("doc_id IS NULL"))
