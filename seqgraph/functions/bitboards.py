@@ -62,7 +62,7 @@ def _span_behind(square: int) -> int:
 def _count_squares(own: Column, other: Column, span) -> Column:
     spans = F.array(*[F.lit(signed(span(s))).cast("long") for s in range(64)])
     square = F.sequence(F.lit(0), F.lit(63))
-    return F.size(F.filter(square, lambda s: (F.shiftrightunsigned(own, s).bitwiseAND(1) == 1) & (other.bitwiseAND(F.get(spans, s)) == 0)))
+    return F.size(F.filter(square, lambda s: (F.getbit(own, s) == 1) & (other.bitwiseAND(F.get(spans, s)) == 0)))
 
 
 def passed(own: Column, other: Column, white: bool = True) -> Column:
@@ -84,7 +84,7 @@ def backward(own: Column, other: Column) -> Column:
     supports = F.array(*[F.lit(signed(support(s))).cast("long") for s in range(64)])
     guarded = F.array(*[F.lit(signed(guards(s))).cast("long") for s in range(64)])
     square = F.sequence(F.lit(0), F.lit(63))
-    return F.size(F.filter(square, lambda s: (F.shiftrightunsigned(own, s).bitwiseAND(1) == 1) & (own.bitwiseAND(F.get(supports, s)) == 0) & (other.bitwiseAND(F.get(guarded, s)) != 0)))
+    return F.size(F.filter(square, lambda s: (F.getbit(own, s) == 1) & (own.bitwiseAND(F.get(supports, s)) == 0) & (other.bitwiseAND(F.get(guarded, s)) != 0)))
 
 
 def centre(white: Column, black: Column) -> Column:
@@ -104,7 +104,7 @@ def semi_open_files(own: Column, other: Column) -> Column:
 
 def squares(board: Column) -> Column:
     """The numbers of the bits that are set."""
-    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda s: F.shiftrightunsigned(board, s).bitwiseAND(1) == 1)
+    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda s: F.getbit(board, s) == 1)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -130,6 +130,6 @@ def developed(minors: Column, home: int) -> Column:
 
 def diagram(white: Column, black: Column) -> Column:
     """Eight ranks of P, p and dots, the top rank first."""
-    sign = lambda s: F.when(F.shiftrightunsigned(white, s).bitwiseAND(1) == 1, "P").when(F.shiftrightunsigned(black, s).bitwiseAND(1) == 1, "p").otherwise(".")
+    sign = lambda s: F.when(F.getbit(white, s) == 1, "P").when(F.getbit(black, s) == 1, "p").otherwise(".")
     rank = lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda f: sign(r * 8 + f)), "")
     return F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), rank), "\n")

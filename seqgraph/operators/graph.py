@@ -1,11 +1,13 @@
 """Iterative and path operators over state graphs.
 
 Loops run a bounded number of levels. Each level is one join and one aggregation over the edge table; its result is
-checkpointed in the shared folder, so neither lineage nor recomputation grows with the depth.
+written to the shared folder, so neither lineage nor recomputation grows with the depth.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,16 +15,18 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Cuts the lineage by a table in the shared folder spark.checkpoint.dir: one job, and lost executors recompute nothing above.
+
+    A folder of our own serves only where that setting is unset.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="seqgraph-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="seqgraph-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/seqgraph/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
