@@ -58,17 +58,22 @@ def divergence(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("state").agg((F.sum(half(p) + half(q)) / 2).alias("js"), F.sum(F.least(p, q)).alias("overlap"), (F.sum(F.abs(p - q)) / 2).alias("tv"), kl.alias("kl"))
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson's correlation over 3 rows or more; null where a side doesn't vary."""
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((F.count(F.lit(1)) >= 3) & (sa > 1e-12) & (sb > 1e-12), F.try_divide(F.covar_pop(a, b), sa * sb))
+
+
 def rank_agreement(pairs: DataFrame) -> DataFrame:
     """state, n, kendall, pearson, spearman over actions that both sources know (null below 2, 3 and 3 of them)."""
     shared = pairs.where("p > 0 AND q > 0")
     state = Window.partitionBy("state")
     mean_rank = lambda c: F.rank().over(state.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("state", c)) - 1) / 2
     ranked = shared.withColumn("rp", mean_rank("p")).withColumn("rq", mean_rank("q"))
-    stats = ranked.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.corr("p", "q").alias("_pearson"), F.corr("rp", "rq").alias("_spearman"))
+    stats = ranked.groupBy("state").agg(F.count(F.lit(1)).alias("n"), _corr("p", "q").alias("pearson"), _corr("rp", "rq").alias("spearman"))
     other = shared.select("state", F.col("action").alias("action2"), F.col("p").alias("p2"), F.col("q").alias("q2"))
     signs = shared.join(other, "state").where("action < action2").groupBy("state").agg((F.sum(F.signum((F.col("p") - F.col("p2")) * (F.col("q") - F.col("q2")))) / F.count(F.lit(1))).alias("kendall"))
-    at_least_3 = lambda c: F.when(F.col("n") >= 3, F.when(~F.isnan(c), F.col(c)))
-    return stats.join(signs, "state", "left").select("state", "n", "kendall", at_least_3("_pearson").alias("pearson"), at_least_3("_spearman").alias("spearman"))
+    return stats.join(signs, "state", "left").select("state", "n", "kendall", "pearson", "spearman")
 
 
 def entropy(dist: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ fvs AS (SELECT *, 'all' AS source FROM fv UNION ALL SELECT *, CASE WHEN strong T
 edges AS (SELECT source, state AS parent, action, next_state AS child, count(*) AS games, count(*) FILTER (outcome = 0) AS w,
          count(*) FILTER (outcome = 1) AS d, count(*) FILTER (outcome = 2) AS b FROM fvs WHERE action IS NOT NULL GROUP BY ALL),
 nodes AS (SELECT state, min(ply) AS min_ply, min(ply) % 2 AS role, arg_min(structure, ply) AS structure, min(ply) = 0 AS is_entry FROM fv GROUP BY state),
-dist AS (SELECT source, parent AS state, action, sum(games) AS games, sum(games) / sum(sum(games)) OVER (PARTITION BY source, parent) AS p
+dist AS (SELECT source, parent AS state, action, CAST(sum(games) AS BIGINT) AS games, sum(games) / sum(sum(games)) OVER (PARTITION BY source, parent) AS p
          FROM edges GROUP BY source, parent, action),
 evals AS (SELECT parent AS state, action, (sum(w) + sum(d) / 2.0) / sum(games) AS ep, sum(games) AS n FROM edges WHERE source = 'all'
          GROUP BY parent, action HAVING sum(games) >= {EVAL_GAMES}),

@@ -163,5 +163,5 @@ def passed_pawns(spark, d):
 def occupancy(spark, d):
     from pyspark.sql import Window
 
-    rows = _masks(spark, d).select(F.explode(bb.squares(F.col("w"))).cast("long").alias("square")).groupBy("square").agg(F.count(F.lit(1)).alias("n"))
+    rows = _masks(spark, d).select(F.explode(bb.squares(F.col("w"))).alias("square")).groupBy(F.col("square").cast("long").alias("square")).agg(F.count(F.lit(1)).alias("n"))
     return rounded(rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))  # 64 rows
