@@ -36,8 +36,9 @@ def compare_sets(cells: DataFrame, baseline: DataFrame, members: DataFrame) -> D
     return saved.crossJoin(F.broadcast(total)).select("curriculum", (F.col("saved") / F.col("total")).alias("recovery"))  # total is one row
 
 
-def greedy(cells: DataFrame, costs: DataFrame, steps: int) -> list[dict]:
-    """The frontier: at each step the item with the largest marginal gain over what is taken (ties: lower cost, then id).
+def greedy(cells: DataFrame, costs: DataFrame, steps: int, budget: float = float("inf")) -> list[dict]:
+    """The frontier: at each step the item with the largest marginal gain over what is taken (ties: lower cost, then id)
+    that the budget still allows.
 
     `cells` has item, state, gain (gain > 0). Each step depends on the last, so the pruned table goes to the driver; a
     table beyond MOST_CELLS is refused instead of being cut.
@@ -55,7 +56,7 @@ def greedy(cells: DataFrame, costs: DataFrame, steps: int) -> list[dict]:
         options = []
         for item, states in gain.items():
             more = sum(max(0.0, g - have.get(s, 0.0)) for s, g in states.items())
-            if more > 1e-12:
+            if more > 1e-12 and spent + cost.get(item, 0.0) <= budget:
                 options.append((-round(more, 12), cost.get(item, 0.0), item, more))
         if not options:
             break
