@@ -26,7 +26,7 @@ def merge_replace(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, counts of inserted and skipped): rows whose keys exist are never overwritten."""
-    order = Window.partitionBy(*keys).orderBy(*[c for c in new.columns if c not in keys])
+    order = Window.partitionBy(*keys).orderBy(*([c for c in new.columns if c not in keys] or keys))
     once = new.withColumn("_n", F.row_number().over(order))
     fresh = once.where("_n = 1").join(old.select(*keys).distinct(), keys, "left_anti").drop("_n")
     counts = new.agg(F.count(F.lit(1)).alias("offered")).crossJoin(F.broadcast(fresh.agg(F.count(F.lit(1)).alias("inserted"))))  # one row each
