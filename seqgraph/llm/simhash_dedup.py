@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged
+from .common import shuffle_partitions, staged, trim
 from .components import components
 
 SEED = 42
@@ -55,6 +55,7 @@ def _fingerprints(shingle: int):
         for batch in batches:
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        trim()
 
     return run
 
@@ -157,6 +158,7 @@ def _compared(threshold: int):
                 keys, prints = keys[cut:], prints[cut:]
         if len(keys):
             yield links(keys, prints)
+        trim()
 
     return run
 

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hash, Texts, mix64, new_path, slices, unstage
+from .common import Hash, Texts, mix64, new_path, slices, trim
 
 WINDOW = 35
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_WORDS = 2_000_000
 #: Bytes of text that a word takes at least on average; with fewer bytes a bucket holds more words, never fewer results.
 WORD_BYTES = 6
@@ -84,6 +84,7 @@ def _chunks(size: int):
                 total += n + 16 * len(piece)
         if held:
             yield flush()
+        trim()
 
     return run
 
@@ -183,6 +184,8 @@ def _probe(bits: int, window: int):
                     plain, multi = _sent_set(rolled[rb[k] : rb[k + 1]])
                     rows.append((k, chunk, plain, multi, flat[bb[k] : bb[k + 1]].astype("<u4").tobytes(), keys[kb[k] : kb[k + 1]].tobytes()))
                 yield from _rows(rows, _SENT)
+                del c, rolled, flat, keys, rows
+                trim()
 
     return run
 
@@ -296,6 +299,7 @@ def _extend(bits: int, window: int):
             for k in np.flatnonzero(np.diff(bounds)):
                 i, j = bounds[k], bounds[k + 1]
                 rows.append((int(k), row["chunk"], packed[i:j].tobytes(), np.packbits(counts[i:j] > 1).tobytes()))
+        trim()
         return pa.Table.from_batches(list(_rows(rows, _PRINTS)), schema=_schema(_PRINTS))
 
     return run
@@ -381,6 +385,8 @@ def _finish(bits: int, window: int, schema: pa.Schema, new_text: bool):
                 columns["text"] = pa.array([x.decode() if v else None for x, v in zip(texts, valid)], pa.string())
             columns |= {"n_words": pa.array(c.counts, pa.int64()), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests, pa.string())}
             parts.append(pa.Table.from_pydict(columns).select(schema.names).cast(schema))
+            del c, t, drops, texts
+        trim()
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
