@@ -127,6 +127,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score of each row of `docs`; `target_ids` has the doc_id of each document of the target."""
     ids = target_ids.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_target", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = counts(rows.join(ids, rows["doc_id"] == ids["_id"], "left"), F.col("_target"))
+    # the ids grow with the corpus: one way for all sizes, a hash join that keeps texts unsorted
+    counted = counts(rows.join(ids.hint("shuffle_hash"), rows["doc_id"] == ids["_id"], "left"), F.col("_target"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(counted))
     return rows.mapInArrow(_scored(shared), "doc_id long, n_tokens long, score double")
