@@ -46,8 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of the text that they decode to."""
     model = tokenizer_file("piece_bpe_32k.model")
-    encoded = sentencepiece_viterbi.encode(docs.select(*COLUMNS), model).drop("text")
-    return sentencepiece_viterbi.decode(encoded, model, digest=True).withColumn("n_tokens", F.size("ids").cast("long"))
+    encoded = sentencepiece_viterbi.encode(docs.select(*COLUMNS), model, digest=True).drop("text")
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -75,9 +75,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    encoded = sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
-    decoded = sentencepiece_viterbi.decode(encoded, model, digest=True)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
+    encoded = sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, digest=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, slices
+from .common import Texts, slices, trim
 from .unit_coder import UnitCoder
 
 MARK = "\u2581"
@@ -115,7 +115,7 @@ def _model(proto: bytes) -> tuple[Model, UnitCoder]:
     key = hash(proto)
     if key not in _models:
         model = Model(proto)
-        _models[key] = model, UnitCoder(lambda units: [model.unit(raw, opens) for raw, opens in units], most=1_000_000, most_ids=8_000_000)
+        _models[key] = model, UnitCoder(lambda units: [model.unit(raw, opens) for raw, opens in units], most=500_000, most_ids=4_000_000)
     return _models[key]
 
 
@@ -133,57 +133,74 @@ def _units(t: Texts, cuts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, begins[starts], np.searchsorted(starts, t.offsets)
 
 
-def _encoded(proto):
+class _Decoder:
+    """The bytes of each piece in one pool: a document's ids gather its text."""
+
+    def __init__(self, model: Model):
+        self.size = np.array([len(b) for b in model.bytes], np.int64)
+        self.at, self.pool = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(model.bytes), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """The text of one document, without the dummy prefix."""
+        s = self.size[ids]
+        total = int(s.sum())
+        return self.pool[np.repeat(self.at[ids] - (np.cumsum(s) - s), s) + np.arange(total)].tobytes()[1:] if total else b""
+
+
+def _encoded(proto, digest: bool):
     def run(batches):
         model, coder = _model(proto.value)
+        decoder = _Decoder(model)
         for batch in batches:
             where = batch.schema.get_field_index("text")
-            for i, j in slices(batch.column(where), 2 << 20):
+            for i, j in slices(batch.column(where), 1 << 20):
                 column = batch.column(where).slice(i, j - i)
                 t = Texts(column)
                 starts, opens, first = _units(t, model.cuts)
                 ids, bounds = coder(t.data, starts, np.append(starts[1:], len(t.data))[: len(starts)], opens.astype(np.int8), first, None)
-                tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(~column.is_valid().to_numpy(zero_copy_only=False)) if column.null_count else None)
+                valid = column.is_valid().to_numpy(zero_copy_only=False)
+                tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(~valid) if column.null_count else None)
+                more = [tokens]
+                if digest:
+                    more.append(pa.array([hashlib.sha256(decoder(ids[a:b])).hexdigest() if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], valid)], pa.string()))
                 rest = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*rest.columns, tokens], names=[*rest.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, *more], names=[*rest.schema.names, *("ids", "decoded_sha256")[: len(more)]])
+        trim()
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """`docs` with a column ids (array of int; one of that name is replaced)."""
+def encode(docs: DataFrame, model_path: str, *, digest: bool = False) -> DataFrame:
+    """`docs` with a column ids (array of int), and with `digest` the sha256 of the text that these ids decode to.
+
+    Columns of these names are replaced. The digest is made in the same Python worker, from the ids alone.
+    """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         proto = spark.sparkContext.broadcast(f.read())
-    docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_encoded(proto), docs.withColumn("ids", F.lit(None).cast("array<int>")).schema)
+    docs = docs.drop("ids", *["decoded_sha256"] * digest).withColumn("text", F.col("text").cast("string"))
+    out = docs.withColumn("ids", F.lit(None).cast("array<int>"))
+    out = out.withColumn("decoded_sha256", F.lit(None).cast("string")) if digest else out
+    return docs.mapInArrow(_encoded(proto, digest), out.schema)
 
 
-def _decoded(proto, digest: bool):
+def _decoded(proto):
     def run(batches):
-        model, _ = _model(proto.value)
-        size = np.array([len(b) for b in model.bytes], np.int64)
-        at, pool = np.cumsum(size) - size, np.frombuffer(b"".join(model.bytes), np.uint8)
+        decoder = _Decoder(_model(proto.value)[0])
         for batch in batches:
-            where = batch.schema.get_field_index("ids")
-            column, texts = batch.column(where), []
+            column = batch.column(batch.schema.get_field_index("ids"))
             bounds, flat, valid = column.offsets.to_numpy(), column.values.to_numpy(), column.is_valid().to_pylist()
-            for i, j, ok in zip(bounds[:-1], bounds[1:], valid):
-                ids = flat[i:j]
-                s = size[ids]
-                total = int(s.sum())
-                raw = pool[np.repeat(at[ids] - (np.cumsum(s) - s), s) + np.arange(total)].tobytes()[1:] if total else b""
-                texts.append((hashlib.sha256(raw).hexdigest() if digest else raw.decode()) if ok else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_sha256" if digest else "decoded"])
+            texts = [decoder(flat[i:j]).decode() if ok else None for i, j, ok in zip(bounds[:-1], bounds[1:], valid)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        trim()
 
     return run
 
 
-def decode(encoded: DataFrame, model_path: str, *, digest: bool = False) -> DataFrame:
-    """`encoded` with a column decoded (or decoded_sha256, where only a check is wanted) from its ids."""
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """`encoded` with a column decoded from its ids (one of that name is replaced)."""
     spark = encoded.sparkSession
     with open(model_path, "rb") as f:
         proto = spark.sparkContext.broadcast(f.read())
-    name = "decoded_sha256" if digest else "decoded"
-    encoded = encoded.drop(name)
-    return encoded.mapInArrow(_decoded(proto, digest), encoded.withColumn(name, F.lit(None).cast("string")).schema)
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(_decoded(proto), encoded.withColumn("decoded", F.lit(None).cast("string")).schema)
