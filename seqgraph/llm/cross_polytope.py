@@ -2,13 +2,13 @@
 
 Vectors become unit vectors by one more component, sqrt(longest^2 - norm^2), divided by the longest norm; then the
 order of inner products with a query is the order of cosines. A table rotates them by three rounds of random signs
-and a fast Hadamard transform, and assigns each to its nearest signed axis (with `depth` > 1 rotations: to a tuple of
-axes). A query probes, in each table, the `probes` cells whose axes it is nearest to. What it meets there is ranked by
+and a fast Hadamard transform, and assigns each to its nearest signed axis. A query probes, in each table, the `probes` cells whose axes it is nearest to. What it meets there is ranked by
 exact inner products in double precision over the original components.
 
 Every row is indexed and nothing is capped: a cell with many vectors is dealt over slices of at most about `slice_rows`
-rows (the queries that probe it go to each slice), and each slice gives the exact best k of what it holds. depth is the
-least that brings a cell's expected share to `cell_rows`. The longest norm is an aggregate over all rows.
+rows (the queries that probe it go to each slice), and each slice gives the exact best k of what it holds. The number
+of cells is the same at every size, so the probed share, and with it the recall, doesn't fall as the table grows. The
+longest norm is an aggregate over all rows.
 
 Defined results: vectors that are null, of zero norm, or hold null or non-finite components, rows with a null id, and
 vectors whose length isn't the most frequent one take no part. Rows that repeat an id and its vector are one candidate.
@@ -28,7 +28,7 @@ from .common import shuffle_partitions, staged
 from .vectors import block, usable
 
 TABLES, PROBES, K = 4, 72, 20
-CELL_ROWS, SLICE_ROWS, GROUP = 4096, 8192, 16
+SLICE_ROWS, GROUP = 8192, 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -42,12 +42,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(rows, n) / math.sqrt(n)
 
 
-def rotated(x: np.ndarray, table: int, level: int, seed: int) -> np.ndarray:
+def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     """Closeness of each unit row to the 2n signed axes after a pseudo-random rotation."""
     n = 1 << (x.shape[1] - 1).bit_length()
     y = np.zeros((len(x), n))
     y[:, : x.shape[1]] = x
-    signs = np.random.default_rng((seed, table, level)).choice([-1.0, 1.0], (3, n))
+    signs = np.random.default_rng((seed, table, 0)).choice([-1.0, 1.0], (3, n))
     for s in signs:
         y = hadamard(y * s)
     return np.concatenate([y, -y], axis=1)
@@ -58,24 +58,16 @@ def _unit(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1) / longest
 
 
-def _cells(x: np.ndarray, table: int, depth: int, seed: int, probes: int) -> np.ndarray:
+def _cells(x: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
     """The `probes` best cells of each row in a table, the nearest first."""
-    score, cell, axes = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64), 0
-    for level in range(depth):
-        y = rotated(x, table, level, seed)
-        axes = y.shape[1]
-        m = min(probes, axes)
-        best = np.argpartition(-y, m - 1, axis=1)[:, :m] if m < axes else np.broadcast_to(np.arange(axes), y.shape)
-        value = np.take_along_axis(y, best, axis=1)
-        score = (score[:, :, None] + value[:, None, :]).reshape(len(x), -1)
-        cell = (cell[:, :, None] * axes + best[:, None, :]).reshape(len(x), -1)
-        m = min(probes, score.shape[1])
-        keep = np.argpartition(-score, m - 1, axis=1)[:, :m]
-        score, cell = np.take_along_axis(score, keep, axis=1), np.take_along_axis(cell, keep, axis=1)
-    return np.take_along_axis(cell, np.argsort(-score, axis=1, kind="stable"), axis=1)
-
-
-def _hashed(tables: int, depth: int, seed: int, probes: int, longest: float):
+    y = rotated(x, table, seed)
+    m = min(probes, y.shape[1])
+    best = np.argpartition(-y, m - 1, axis=1)[:, :m]
+    order = np.argsort(-np.take_along_axis(y, best, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(best, order, axis=1)
+
+
+def _hashed(tables: int, seed: int, probes: int, longest: float):
     def run(batches):
         for batch in batches:
             ids, vectors = batch.column("vec_id"), batch.column("vector")
@@ -83,7 +75,7 @@ def _hashed(tables: int, depth: int, seed: int, probes: int, longest: float):
                 x = block(vectors.slice(i, 2048)).astype(np.float64)
                 unit = _unit(x, longest)
                 for t in range(tables):
-                    cells = _cells(unit, t, depth, seed, probes)
+                    cells = _cells(unit, t, seed, probes)
                     n, p = cells.shape
                     who = pa.array(np.repeat(np.arange(i, i + n), p))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n * p, t, np.int32)), pa.array(cells.ravel()), ids.take(who), vectors.take(who)], names=["table", "cell", "vec_id", "vector"])
@@ -91,7 +83,7 @@ def _hashed(tables: int, depth: int, seed: int, probes: int, longest: float):
     return run
 
 
-def _query_cells(tables: int, depth: int, seed: int, probes: int, longest: float, group: int):
+def _query_cells(tables: int, seed: int, probes: int, longest: float, group: int):
     """A query row once for each group of cells that it probes, with the list of those cells."""
 
     def run(batches):
@@ -101,7 +93,7 @@ def _query_cells(tables: int, depth: int, seed: int, probes: int, longest: float
                 x = block(vectors.slice(i, 2048)).astype(np.float64)
                 unit = _unit(x, longest)
                 for t in range(tables):
-                    cells = np.sort(_cells(unit, t, depth, seed, probes), axis=1)
+                    cells = np.sort(_cells(unit, t, seed, probes), axis=1)
                     n, p = cells.shape
                     who, flat = np.repeat(np.arange(n), p), cells.ravel()
                     groups = flat // group
@@ -167,7 +159,7 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = 17, depth: int | None = None, cell_rows: int = CELL_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = 17, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which `is_query` holds (a condition on vec_id)."""
     spark = rows.sparkSession
     good = usable(rows, id_col, vector_col)
@@ -177,15 +169,13 @@ def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_
     good = good.drop("_norm")
     if not size["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest, d = math.sqrt(size["m"]), len(good.select("vector").first()[0]) + 1
-    axes = 2 << (d - 1).bit_length()
-    depth = depth or max(1, math.ceil(math.log(max(1.0, size["n"] / cell_rows)) / math.log(axes)))
+    longest = math.sqrt(size["m"])
     kind = good.schema["vector"].dataType.simpleString()
-    index = staged(good.mapInArrow(_hashed(tables, depth, seed, 1, longest), f"table int, cell long, vec_id long, vector {kind}"), "index")
+    index = staged(good.mapInArrow(_hashed(tables, seed, 1, longest), f"table int, cell long, vec_id long, vector {kind}"), "index")
     index = index.withColumn("part", F.floor(F.col("cell") / GROUP))
     counts = index.groupBy("table", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("slices"))
     index = index.join(counts, ["table", "part"]).withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int")).drop("slices")
-    queries = good.where(is_query).mapInArrow(_query_cells(tables, depth, seed, probes, longest, GROUP), f"table int, part long, cells array<bigint>, vec_id long, vector {kind}")
+    queries = good.where(is_query).mapInArrow(_query_cells(tables, seed, probes, longest, GROUP), f"table int, part long, cells array<bigint>, vec_id long, vector {kind}")
     queries = queries.join(counts, ["table", "part"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     keys = ["table", "part", "slice"]
     n = shuffle_partitions(spark)

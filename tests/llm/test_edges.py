@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,19 @@ def test_vector_searches(spark):
         assert (cross_polytope.search(few, is_query) if name == "cp" else va_file.search(few, is_query)).count() == 1
 
 
+def test_cross_polytope_large(spark):
+    """One hashing rule at every size: 16 probes are all cells of 4-d vectors, so a large table is searched exactly too."""
+    x = np.random.default_rng(8).normal(size=(70_000, 4)).astype(np.float32)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 4, dtype=np.int32)), pa.array(x.ravel()))
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": vectors}))
+    got, y = {}, x.astype(float)
+    for r in cross_polytope.search(rows, F.col("vec_id") < 30, tables=1, probes=16).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {i: set([j for j in np.argsort(-(y @ y[i]), kind="stable")[:21].tolist() if j != i][:20]) for i in range(30)}
+    recall = np.mean([len(got.get(i, set()) & want[i]) / 20 for i in want])
+    assert recall == 1, recall
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, 1, 0) for i in (1, 6, 7)] + [(10, 0, 0), (11, 0, 0), (12, None, 0), (None, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
     scored = compression_quality.score(docs, compression_quality.fit(docs, labels))
