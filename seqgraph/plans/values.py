@@ -154,8 +154,14 @@ def bitboard_features(spark, d):
 @query(f"""SELECT id, count(*) FILTER (NOT blocked) AS passed FROM (SELECT m.id, s.i, (SELECT count(*) FROM range(64) t(j) WHERE j // 8 > s.i // 8 AND abs(j % 8 - s.i % 8) <= 1 AND (m.b >> j) & 1 = 1) > 0 AS blocked
     FROM (SELECT * FROM ({MASKS}) WHERE id % 20 = 0) m CROSS JOIN range(64) s(i) WHERE (m.w >> s.i) & 1 = 1) GROUP BY id""")
 def passed_pawns(spark, d):
-    """On every 20th mask: the SQL side enumerates squares."""
-    rows = _masks(spark, d).where("id % 20 = 0").select("id", bb.passed(F.col("w"), F.col("b")).cast("long").alias("passed"), F.bit_count("w").alias("n"))
+    """A check of passed_pawns_all: every 20th mask, as in its SQL, which enumerates squares."""
+    return passed_pawns_all(spark, d).where("id % 20 = 0")
+
+
+@query()
+def passed_pawns_all(spark, d):
+    """On all masks; tests compare with brute force."""
+    rows = _masks(spark, d).select("id", bb.passed(F.col("w"), F.col("b")).cast("long").alias("passed"), F.bit_count("w").alias("n"))
     return rows.where("n > 0").select("id", "passed")
 
 
