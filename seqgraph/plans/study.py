@@ -70,6 +70,8 @@ def mirror_keys(spark, d):
 
 # --- mining ----------------------------------------------------------------------------------------------------------
 
+#: As the reference's permutation test: the least p is 1 / 201.
+SHUFFLES = 200
 BOARDS = """, boards AS (SELECT o_orderkey, o_orderpriority AS g, o_orderstatus AS y, CASE WHEN c_acctbal >= 5000 THEN 'rich' WHEN c_acctbal >= 0 THEN 'mid' ELSE 'poor' END AS f, 1.0::DOUBLE AS w
     FROM orders JOIN customer ON c_custkey = o_custkey)"""
 MI = """, base AS (SELECT g, -sum(p * log2(p)) AS base FROM (SELECT g, y, sum(w) / sum(sum(w)) OVER (PARTITION BY g) AS p FROM boards GROUP BY g, y) GROUP BY g),
@@ -97,11 +99,17 @@ def mutual_information(spark, d):
     mi AS (SELECT g, perm, base - sum(w * h) / sum(w) AS mi FROM given JOIN base USING (g, perm) GROUP BY g, perm, base)
     SELECT o.g, round(o.mi, 6) AS mi, round((count(*) FILTER (n.mi >= o.mi - 1e-9) + 1) / (count(*) + 1), 6) AS p_value FROM mi o JOIN mi n ON n.g = o.g AND n.perm > 0 WHERE o.perm = 0 GROUP BY o.g, o.mi""")
 def permutation_test(spark, d):
-    """On the large orders; a label shuffle is dealt by hashes, so both engines draw the same."""
+    """A check of permutation_test_all: the large orders and 19 shuffles, as in its SQL. A label shuffle is dealt by hashes, so both engines draw the same."""
     big = fx.table(spark, d, "orders").where("o_totalprice >= 400000").select("o_orderkey")
     return rounded(mining.permutation_test(_boards(spark, d).join(big, "o_orderkey", "left_semi"), "g", "y", "f", "w", "o_orderkey", 19))
 
 
+@query()
+def permutation_test_all(spark, d):
+    """On all boards with the reference's number of shuffles: too many rows for SQL; tests compare with brute force."""
+    return rounded(mining.permutation_test(_boards(spark, d), "g", "y", "f", "w", "o_orderkey", SHUFFLES))
+
+
 TRAJ = """, ev2 AS (SELECT DISTINCT game_id AS traj, action AS event FROM steps), wt AS (SELECT game_id AS traj, CASE WHEN strong THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM games),
     tot AS (SELECT sum(weight) AS t FROM wt), t1 AS (SELECT traj, event, weight FROM ev2 JOIN wt USING (traj))"""
 

@@ -1,6 +1,12 @@
 """Queries over whole tables, against brute force."""
 
-from seqgraph.plans import catalog, graphs, values  # noqa: F401  (importing registers the queries)
+import hashlib
+from collections import Counter, defaultdict
+from math import log2
+
+import pytest
+
+from seqgraph.plans import catalog, study, values
 
 
 def test_passed_pawns_on_all_masks(spark, small):
@@ -11,3 +17,37 @@ def test_passed_pawns_on_all_masks(spark, small):
         if own:
             want[r["id"]] = sum(not any(o // 8 > s // 8 and abs(o % 8 - s % 8) <= 1 for o in other) for s in own)
     assert got == want and any(i % 20 for i in want)
+
+
+def _information(pairs):
+    """I(y; f) of (f, y) pairs in bits."""
+    n, joint, f, y = len(pairs), Counter(pairs), Counter(p[0] for p in pairs), Counter(p[1] for p in pairs)
+    return sum(c / n * log2(c * n / (f[a] * y[b])) for (a, b), c in joint.items())
+
+
+def _tested(rows, shuffles):
+    """Per group: the information and the p-value of rows (id, g, y, f), by the operator's seeded deals."""
+    groups, out = defaultdict(list), {}
+    for i, g, y, f in rows:
+        groups[g].append((str(i), y, f))
+    for g, own in groups.items():
+        own.sort()
+        mi, reached = _information([(f, y) for _, y, f in own]), 0
+        for k in range(1, shuffles + 1):
+            drawn = sorted(own, key=lambda r: (hashlib.sha256(f"{k}:{r[0]}".encode()).hexdigest(), r[0]))  # noqa: B023
+            reached += _information([(a[2], b[1]) for a, b in zip(own, drawn)]) >= mi - 1e-9
+        out[g] = (mi, (reached + 1) / (shuffles + 1))
+    return out
+
+
+@pytest.fixture(scope="module")
+def boards(spark, small):
+    rows = [(r["o_orderkey"], r["g"], r["y"], r["f"]) for r in study._boards(spark, small).collect()]
+    return rows, _tested(rows, 200)
+
+
+def test_permutations_of_all_boards(spark, small, boards):
+    got = {r["g"]: (r["mi"], r["p_value"]) for r in catalog.QUERIES["permutation_test_all"](spark, small).collect()}
+    assert set(got) == set(boards[1])
+    for g, (mi, p) in boards[1].items():
+        assert got[g] == (pytest.approx(mi, abs=1e-6), pytest.approx(p, abs=1e-6))
