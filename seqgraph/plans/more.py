@@ -9,7 +9,7 @@ from ..functions import values as v
 from ..operators import evidence, graph, metrics, mining, selection, sequences as seq
 from . import fixture as fx
 from .catalog import query, rounded
-from .study import BOARDS, ITEMS, MI, PLANS, _boards, _items, _uses
+from .study import BOARDS, ITEMS, MI, PLANS, SHUFFLES, _boards, _items, _uses
 
 
 @query(fx.SQL + """, ok AS (SELECT DISTINCT parent, child FROM edges WHERE games >= CASE source WHEN 'expert' THEN 3 WHEN 'population' THEN 8 ELSE 1000000 END),
@@ -144,11 +144,26 @@ def keep_first_by_signature(spark, d):
     SELECT g, round(base - conditional, 6) AS mi, boards, CASE WHEN base - conditional >= 0.10 AND "values" >= 2 AND boards >= 5 THEN 'split' WHEN boards < 5 THEN 'too_few' WHEN base - conditional < 0.10 THEN 'no_information' ELSE 'chance' END AS decision
     FROM base JOIN cond USING (g) JOIN sz USING (g)""")
 def split_decisions(spark, d):
-    """With p-values of 0: the thresholds on information and size alone."""
+    """With p-values of 0, as in its SQL: the thresholds on information and size alone. split_decisions_all applies the whole rule."""
     boards = _boards(spark, d)
+    return rounded(_decided(boards, lambda mi: mi.select("g", F.lit(0.0).alias("p_value"))).select("g", "mi", "boards", "decision"))
+
+
+def _decided(boards, tests):
     mi = mining.mutual_information(boards, "g", "y", "f", "w")
-    tests = mi.select("g", F.lit(0.0).alias("p_value"))
-    return rounded(mining.split_decision(mi, tests, boards.groupBy("g").agg(F.count(F.lit(1)).alias("boards")), "g").select("g", "mi", "boards", "decision"))
+    return mining.split_decision(mi, tests(mi), boards.groupBy("g").agg(F.count(F.lit(1)).alias("boards")), "g")
+
+
+def split_all(boards):
+    """g, mi, p_value, boards, decision by the whole rule, with the permutation test over all boards."""
+    tests = mining.permutation_test(boards, "g", "y", "f", "w", "o_orderkey", SHUFFLES)
+    return rounded(_decided(boards, lambda _: tests).select("g", "mi", "p_value", "boards", "decision"))
+
+
+@query()
+def split_decisions_all(spark, d):
+    """Information, chance and size: the permutation test has too many rows for SQL; tests compare with brute force."""
+    return split_all(_boards(spark, d))
 
 
 @query(fx.SQL + """, st AS (SELECT *, CAST(least(9, (row_number() OVER (PARTITION BY outcome ORDER BY day_ord, game_id) - 1) * 10 // count(*) OVER (PARTITION BY outcome)) AS INTEGER) AS stratum FROM games),

@@ -6,7 +6,7 @@ from math import log2
 
 import pytest
 
-from seqgraph.plans import catalog, study, values
+from seqgraph.plans import catalog, more, study, values
 
 
 def test_passed_pawns_on_all_masks(spark, small):
@@ -51,3 +51,21 @@ def test_permutations_of_all_boards(spark, small, boards):
     assert set(got) == set(boards[1])
     for g, (mi, p) in boards[1].items():
         assert got[g] == (pytest.approx(mi, abs=1e-6), pytest.approx(p, abs=1e-6))
+
+
+def test_split_decisions_with_p_values(spark, small, boards):
+    got = {r["g"]: (r["p_value"], r["boards"], r["decision"]) for r in catalog.QUERIES["split_decisions_all"](spark, small).collect()}
+    sizes = Counter(r[1] for r in boards[0])
+    want = {}
+    for g, (mi, p) in boards[1].items():
+        want[g] = (pytest.approx(p, abs=1e-6), sizes[g], "too_few" if sizes[g] < 5 else "no_information" if mi < 0.10 else "split" if p < 0.05 else "chance")
+    assert got == want
+
+
+def test_chance_is_not_a_split(spark):
+    """Much information from few boards is chance; without the permutation test it would be a split."""
+    rows = [(i, "few", "xy"[i % 2], f, 1.0) for i, f in enumerate("aaabab")] + [(100 + i, "many", "xy"[i % 2], "ab"[i % 2], 1.0) for i in range(40)]
+    tested = _tested([(i, g, y, f) for i, g, y, f, _ in rows], 200)
+    got = {r["g"]: r["decision"] for r in more.split_all(spark.createDataFrame(rows, "o_orderkey long, g string, y string, f string, w double")).collect()}
+    assert tested["few"][0] >= 0.10 and tested["few"][1] >= 0.05
+    assert got["many"] == "split" and got["few"] == "chance"
