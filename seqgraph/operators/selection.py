@@ -94,10 +94,22 @@ def schemas(uses: DataFrame, bundles: DataFrame) -> DataFrame:
 
 
 def containment(sets: DataFrame) -> DataFrame:
-    """Strict subsets among sets, found through shared members: small, large."""
-    members = sets.select("id", F.explode("members").alias("m"), F.size("members").alias("size"))
-    a, b = members.select(F.col("id").alias("small"), "m", "size"), members.select(F.col("id").alias("large"), "m", F.col("size").alias("size2"))
-    return a.join(b, "m").where("small <> large AND size < size2").groupBy("small", "large", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").select("small", "large")
+    """Strict subsets among sets: small, large.
+
+    Each set looks among the larger sets that hold its rarest member, so no frequent member makes all pairs; 256-bit
+    signatures sort out most of those before the members themselves are compared.
+    """
+    bits = [F.expr(f"aggregate(members, 0L, (s, m) -> s | if(pmod(xxhash64(m), 256) div 64 = {k}, shiftleft(1L, cast(pmod(xxhash64(m), 64) as int)), 0L))").alias(f"s{k}") for k in range(4)]
+    sets = sets.select("id", F.array_distinct("members").alias("members")).select("id", "members", F.size("members").alias("size"), *bits)
+    large = sets.select(F.col("id").alias("large"), F.explode("members").alias("m"), F.col("size").alias("size2"), *[F.col(f"s{k}").alias(f"l{k}") for k in range(4)])
+    counts = large.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    rarest = sets.select("id", F.explode("members").alias("m")).join(counts, "m").groupBy("id").agg(F.min(F.struct("n", "m")).alias("r")).select("id", F.col("r.m").alias("m"))
+    fits = F.lit(True)
+    for k in range(4):
+        fits = fits & (F.col(f"s{k}").bitwiseAND(F.bitwise_not(F.col(f"l{k}"))) == 0)
+    pairs = sets.join(rarest, "id").join(large, "m").where(F.col("size") < F.col("size2")).where(fits).select(F.col("id").alias("small"), "large", "members")
+    whole = sets.select(F.col("id").alias("large"), F.col("members").alias("all_members"))
+    return pairs.join(whole, "large").where(F.size(F.array_except("members", "all_members")) == 0).select("small", "large")
 
 
 def first_category(rows: DataFrame, key: str, rank: str) -> DataFrame:

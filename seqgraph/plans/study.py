@@ -280,11 +280,17 @@ def schemas(spark, d):
 @query(PLANS + """, sets AS (SELECT plan, list_sort(list(component)) AS m, count(*) AS n FROM uses WHERE component LIKE '%:0' GROUP BY plan HAVING count(*) <= 3)
     SELECT a.plan AS small, b.plan AS large FROM sets a JOIN sets b ON a.n < b.n AND list_has_all(b.m, a.m)""")
 def containment(spark, d):
-    """Strict subsets found through shared members, not by comparing all pairs."""
+    """A check of containment_all: sets of at most three ':0' components, as in its SQL."""
     rows = _uses(spark, d).where("component LIKE '%:0'").groupBy(F.col("plan").alias("id")).agg(F.collect_list("component").alias("members")).where(F.size("members") <= 3)
     return selection.containment(rows)
 
 
+@query()
+def containment_all(spark, d):
+    """Strict subsets among all plans' whole component sets: too many pairs for SQL; tests compare with brute force."""
+    return selection.containment(_uses(spark, d).groupBy(F.col("plan").alias("id")).agg(F.collect_list("component").alias("members")))
+
+
 @query("""SELECT o_orderkey, CASE WHEN bal < 0 THEN 1 WHEN o_orderstatus = 'P' THEN 2 WHEN o_totalprice > 300000 THEN 3 ELSE 4 END AS tier FROM (SELECT orders.*, c_acctbal AS bal FROM orders JOIN customer ON c_custkey = o_custkey)""")
 def priority_tiers(spark, d):
     """Disjoint tiers: each order under the first category that holds it."""

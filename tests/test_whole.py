@@ -1,11 +1,13 @@
 """Queries over whole tables, against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 from math import log2
 
 import pytest
 
+from seqgraph.operators import selection
 from seqgraph.plans import catalog, more, study, values
 
 
@@ -69,3 +71,20 @@ def test_chance_is_not_a_split(spark):
     got = {r["g"]: r["decision"] for r in more.split_all(spark.createDataFrame(rows, "o_orderkey long, g string, y string, f string, w double")).collect()}
     assert tested["few"][0] >= 0.10 and tested["few"][1] >= 0.05
     assert got["many"] == "split" and got["few"] == "chance"
+
+
+def test_containment_of_whole_sets(spark, small):
+    got = [(r["small"], r["large"]) for r in catalog.QUERIES["containment_all"](spark, small).collect()]
+    sets = defaultdict(set)
+    for r in study._uses(spark, small).collect():
+        sets[r["plan"]].add(r["component"])
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if x < y}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_containment_of_large_sets(spark):
+    rng = random.Random(6)
+    sets = {i: set(rng.sample(range(12), rng.randrange(1, 11))) for i in range(150)}
+    df = spark.createDataFrame([(i, [f"c{m}" for m in s]) for i, s in sets.items()], "id long, members array<string>")
+    got = sorted((r["small"], r["large"]) for r in selection.containment(df).collect())
+    assert got == sorted((a, b) for a, x in sets.items() for b, y in sets.items() if x < y)
