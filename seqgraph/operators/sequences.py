@@ -35,12 +35,14 @@ def number_steps(events: DataFrame, game: str, order: list[str], action: str, st
     )
 
 
-def visits(steps: DataFrame, max_ply: int) -> DataFrame:
-    """Every state a game stood in: one row a step, and one with a null action where the game ended by `max_ply`."""
+def visits(steps: DataFrame, max_ply: int | None) -> DataFrame:
+    """Every state a game stood in: one row a step, and one with a null action where the game ended by `max_ply` (None: no bound)."""
     here = F.struct("ply", "state", "structure", "action", "next_state")
     end = F.struct((F.col("ply") + 1).alias("ply"), F.col("next_state").alias("state"), F.col("next_structure").alias("structure"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("next_state"))
     rows = F.when(F.col("is_last"), F.array(here, end)).otherwise(F.array(here))
     rows = steps.select("game_id", F.explode(rows).alias("v")).select("game_id", "v.*")
+    if max_ply is None:
+        return rows
     return rows.where((F.col("ply") < max_ply) | ((F.col("ply") == max_ply) & F.col("action").isNull()))
 
 

@@ -28,15 +28,15 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("game_id", F.pmod("_c", F.lit(3)).cast("int").alias("outcome"), (F.pmod("_u", F.lit(3)) == 0).alias("strong"), F.date_format("_t", "yyyyMMdd").cast("int").alias("day_ord"))
 
 
-def first_visits(spark: SparkSession, sf_dir: str, last_actions: int = 0, max_ply: int = MAX_PLY) -> DataFrame:
-    """game_id, ply, state, structure, action, next_state, outcome, strong: each game once at each state."""
+def first_visits(spark: SparkSession, sf_dir: str, last_actions: int = 0, max_ply: int | None = MAX_PLY) -> DataFrame:
+    """game_id, ply, state, structure, action, next_state, outcome, strong: each game once at each state; whole games if `max_ply` is None."""
     steps = seq.number_steps(events(spark, sf_dir), "game", ["ts", "event_id"], "event_type", STRUCTURE, last_actions)
     first = seq.first_visits(seq.visits(steps, max_ply))
     return first.join(games(spark, sf_dir), "game_id")
 
 
-def edges(spark: SparkSession, sf_dir: str, last_actions: int = 0) -> DataFrame:
-    return seq.edges(first_visits(spark, sf_dir, last_actions))
+def edges(spark: SparkSession, sf_dir: str, last_actions: int = 0, max_ply: int | None = MAX_PLY) -> DataFrame:
+    return seq.edges(first_visits(spark, sf_dir, last_actions, max_ply))
 
 
 def evals(edge_rows: DataFrame) -> DataFrame:
@@ -89,3 +89,12 @@ reach AS (SELECT source, state, sum(m) AS reach, count(*) AS paths FROM paths GR
 #: Common table expressions of the multiset-state binding, and of the one whose states are the last two actions.
 SQL = "WITH RECURSIVE " + _sql(0).strip()
 SQL_CYCLIC = "WITH RECURSIVE " + _sql(2).strip()
+
+
+def whole_games(sql: str) -> str:
+    """A query's SQL without the bound on plies."""
+    for bound in (f" WHERE ply < {MAX_PLY}", f" AND ply + 1 <= {MAX_PLY}"):
+        if sql.count(bound) != 1:
+            raise ValueError(f"not one{bound}")
+        sql = sql.replace(bound, "")
+    return sql

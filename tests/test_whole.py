@@ -5,10 +5,11 @@ import random
 from collections import Counter, defaultdict
 from math import log2
 
+import duckdb
 import pytest
 
 from seqgraph.operators import selection
-from seqgraph.plans import catalog, more, study, values
+from seqgraph.plans import catalog, core, more, study, values  # noqa: F401  (importing registers the queries)
 
 
 def test_passed_pawns_on_all_masks(spark, small):
@@ -88,3 +89,32 @@ def test_containment_of_large_sets(spark):
     df = spark.createDataFrame([(i, [f"c{m}" for m in s]) for i, s in sets.items()], "id long, members array<string>")
     got = sorted((r["small"], r["large"]) for r in selection.containment(df).collect())
     assert got == sorted((a, b) for a, x in sets.items() for b, y in sets.items() if x < y)
+
+
+def test_counts_of_whole_games(spark, small):
+    """Every event of every game counts, however long the game is."""
+    rows = duckdb.connect().execute(f"SELECT user_id * 100 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3, event_type, CAST(round(value * 100) AS BIGINT) FROM '{small}/events.parquet' ORDER BY 1, ts, event_id").fetchall()
+    games, want = defaultdict(list), Counter()
+    for game, action, cents in rows:
+        games[game].append((action, cents))
+    for steps in games.values():
+        outcome, past = sum(c for _, c in steps) % 3, []
+        for action in [a for a, _ in steps] + [""]:
+            want["|".join(sorted(past)), action, outcome] += 1
+            past.append(action)
+    got = Counter()
+    for r in catalog.QUERIES["edges_complete_all"](spark, small).collect():
+        got.update({(r["state"], r["action"], k): r[name] for k, name in enumerate("wdb") if r[name]})
+    assert got == want and max(map(len, games.values())) > 6 and sum(got.values()) == len(rows) + len(games)
+
+
+@pytest.mark.parametrize("name", ["move_table_all", "nodes_all", "provenance_all", "position_source_coverage_all", "universes_all"])
+def test_whole_games_in_sql(spark, small, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    found = db.execute(catalog.SQL[name])
+    columns = [c[0] for c in found.description]
+    key = lambda r: tuple(round(float(x), 5) if isinstance(x, float) else str(x) for x in r)
+    want = Counter(map(key, found.fetchall()))
+    rows = catalog.QUERIES[name](spark, small).select(*columns).collect()
+    assert Counter(map(key, rows)) == want
