@@ -1,19 +1,23 @@
 """Exact top-k by vector-approximation files.
 
-Components are the integers floor(256 * x). The file has one row for each block of vectors: ids, approximations (one
-byte a component: the cell of a uniform grid between the component's least and greatest value over all rows) and the
-exact vectors in a column of their own. A scan computes an upper bound of each inner product from the cells; the
-exact vectors are then read in the order of these bounds until the k-th best score is above every bound that is left.
-Bounds are exact integers or are widened by their rounding error, so the result is exact.
+Components are the integers floor(256 * x). The file of cells has one row for each block of vectors: ids and
+approximations (one byte a component: the cell of a uniform grid between the component's least and greatest value over
+all rows). The exact vectors are a column of their own, which the scan doesn't read.
 
-Queries come in slabs of at most about `slab` rows, dealt by a hash: a slab is broadcast (its size is that parameter's,
-whatever the table's), and each slab is one scan of the file in blocks. Each task keeps the best k of each query over
-its blocks, so k rows a query leave it.
+1. scan    the cells give every inner product an upper and a lower bound; a task keeps what may still be among the k
+           best of its blocks, and the k-th best lower bound over all tasks then leaves few candidates a query;
+2. read    only their exact vectors, in the order of their upper bounds, until the k-th best score of the block is above
+           every bound that is left.
+
+Bounds are widened by their rounding error and scores are exact integers of any size, so the result is exact.
+
+Queries come in slabs of at most about `slab_bytes` bytes, dealt by a hash: a slab is broadcast (its size is that
+parameter's, whatever the table's), and each slab is one scan of the cells in blocks.
 
 Defined results: vectors that are null or hold null or non-finite components, rows with a null id, and vectors whose
-length isn't the most frequent one take no part. Integers are held within +-2^27 (larger ones count as that bound), so
-that scores fit in a long for up to 512 components. Rows that repeat an id and its vector are one candidate; ties go to the smaller id;
-fewer candidates than k give fewer rows; an empty table gives none.
+length isn't the most frequent one take no part. A score of a returned row beyond a long is an error.
+Rows that repeat an id and its vector are one candidate; an id with several vectors counts with its best score, as
+candidate and as query. Ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,159 +26,190 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors as v
 from .common import staged
-from .cross_polytope import ranked
-from .vectors import block, usable
+from .vectors import block
+
+K, BLOCK, SLAB_BYTES, CELLS = 5, 4096, 32 << 20, 256
+#: Queries that are compared with a block at a time.
+STRIPE = 512
+_RESULT = "query_id long, rank int, vec_id long, score long"
+_FILE = "block long, ids binary, cells binary, exact binary"
+_MAY = "query int, query_id long, vec_id long, block long, place int, bound double, slack double"
 
-K, BLOCK, SLAB, CELLS, LIMIT = 5, 4096, 4096, 64, 1 << 27
-_FILE = "ids binary, cells binary, exact binary, n int"
 
+def integers(x: np.ndarray, scale: float = 256.0) -> np.ndarray:
+    """floor(scale * x) as doubles, which hold these integers exactly."""
+    return np.floor(scale * x.astype(np.float64))
 
-def as_integers(x: np.ndarray, scale: float = 256.0) -> np.ndarray:
-    return np.clip(np.floor(scale * x.astype(np.float64)), -LIMIT, LIMIT).astype(np.int64)
+
+def products(x: np.ndarray, y: np.ndarray) -> list[int] | np.ndarray:
+    """Exact inner products of paired rows of whole doubles: in longs where no sum can leave them, else in Python's integers."""
+    if float((np.abs(x) * np.abs(y)).sum(axis=1).max(initial=0.0)) < 2.0**62 and max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0)) < 2.0**62:
+        return np.einsum("ij,ij->i", x.astype(np.int64), y.astype(np.int64))
+    return [sum(int(a) * int(b) for a, b in zip(r, s)) for r, s in zip(x, y)]
 
 
 class Grid:
-    """Uniform cells between each component's least and greatest value."""
+    """Uniform cells between each component's least and greatest value; inner products have bounds by the cells' middles."""
 
     def __init__(self, least: np.ndarray, greatest: np.ndarray, cells: int):
-        self.least = least
-        self.width = (greatest - least) // cells + 1
+        self.least, self.count = least, cells
+        self.width = np.maximum(np.ceil((greatest - least + 1) / cells), 1.0)
+        # beyond 2^53 neither widths nor middles are exact: a little more than half a cell covers that
+        self.size = np.maximum(np.abs(least), np.abs(greatest)) + self.width
+        self.half = self.width * (0.5 + 1e-9) + self.size * 1e-12
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.least) // self.width).astype(np.uint8)
+        return np.clip((x - self.least) // self.width, 0, self.count - 1).astype(np.uint8)
 
     def middle(self, cells: np.ndarray) -> np.ndarray:
-        """Twice the middle of each cell (an integer)."""
-        return 2 * (self.least + cells.astype(np.int64) * self.width) + self.width - 1
+        return self.least + cells * self.width + (self.width - 1) / 2
+
+    def slack(self, queries: np.ndarray) -> np.ndarray:
+        """How far an inner product can be from that with the middle of the cell, rounding included."""
+        return np.abs(queries) @ (self.half + self.size * 1e-12)
 
 
 def _file(grid: Grid, size: int):
     def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, vectors = batch.column("vec_id").to_numpy(), batch.column("vector")
+            ids, column = batch.column("vec_id").to_numpy(), batch.column("vector")
             for i in range(0, len(ids), size):
-                x = as_integers(block(vectors.slice(i, size)))
-                row = {"ids": ids[i : i + size].astype("<i8").tobytes(), "cells": grid.cells(x).tobytes(), "exact": x.astype("<i4").tobytes()}
-                yield pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.binary()) for k, v in row.items()}, "n": pa.array([len(x)], pa.int32())})
+                x = block(column.slice(i, size))
+                blobs = (ids[i : i + size].astype("<i8").tobytes(), grid.cells(integers(x)).tobytes(), x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs]], names=["block", "ids", "cells", "exact"])
+                seq += 1
 
     return run
 
 
-def _merge(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best k entries of each row by (score down, id up), each id once."""
-    order = np.lexsort((ids, -scores), axis=1)
-    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-    again = np.zeros(ids.shape, bool)
-    again[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (scores[:, 1:] == scores[:, :-1])
-    if again.any():
-        scores = np.where(again, _NONE, scores)
-        order = np.lexsort((ids, -scores), axis=1)
-        ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-    return ids[:, :k], scores[:, :k]
-
-
-_NONE = -(1 << 62)
-
-
-class Scan:
-    """The best k of each query over the blocks seen so far."""
-
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, grid: Grid, k: int):
-        self.query_ids, self.queries, self.grid, self.k = query_ids, queries, grid, k
-        self.as_float, self.reach = queries.astype(np.float64), np.abs(queries).astype(np.float64) @ (grid.width - 1).astype(np.float64)
-        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.scores = np.full((len(queries), k), _NONE, np.int64)
-        self.read = 0
-
-    def _exact(self, q: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(q), np.int64)
-        for i in range(0, len(q), 1 << 16):
-            out[i : i + (1 << 16)] = np.einsum("ij,ij->i", self.queries[q[i : i + (1 << 16)]], x[v[i : i + (1 << 16)]])
-        self.read += len(q)
+class _Kept:
+    """For each query, what may still be among the k best of the blocks seen so far."""
+
+    def __init__(self, n: int, k: int):
+        self.kth = np.full((n, k), -np.inf)
+        self.found: list[np.ndarray] = []
+        self.rows = 0
+
+    def add(self, first: int, middle: np.ndarray, slack: np.ndarray, ids: np.ndarray, number: int) -> None:
+        """`middle`: inner products with the cells' middles for the queries from `first` on; -inf takes no part."""
+        k, n = self.kth.shape[1], len(middle)
+        top = np.partition(middle, middle.shape[1] - k, axis=1)[:, -k:] if middle.shape[1] > k else middle
+        mine = np.concatenate([self.kth[first : first + n], top], axis=1)
+        mine = np.partition(mine, mine.shape[1] - k, axis=1)[:, -k:]
+        self.kth[first : first + n] = mine
+        q, place = np.nonzero(middle >= (mine.min(axis=1) - 2 * slack)[:, None])
+        q, place = q[middle[q, place] > -np.inf], place[middle[q, place] > -np.inf]
+        out = np.empty(len(q), [("q", "<i4"), ("id", "<i8"), ("block", "<i8"), ("place", "<i4"), ("middle", "<f8")])
+        out["q"], out["id"], out["block"], out["place"], out["middle"] = q + first, ids[place], number, place, middle[q, place]
+        self.found.append(out)
+        self.rows += len(out)
+
+    def pruned(self, slack: np.ndarray) -> np.ndarray:
+        out = np.concatenate(self.found) if self.found else np.empty(0, [("q", "<i4"), ("id", "<i8"), ("block", "<i8"), ("place", "<i4"), ("middle", "<f8")])
+        out = out[out["middle"] >= self.kth.min(axis=1)[out["q"]] - 2 * slack[out["q"]]]
+        self.found, self.rows = [out], len(out)
         return out
 
-    def _take(self, q: np.ndarray, v: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        """Merges exact scores of (query, vector) pairs sorted by query."""
-        score = self._exact(q, v, x)
-        rows, counts = np.unique(q, return_counts=True)
-        wide = int(counts.max())
-        column = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
-        row = np.repeat(np.arange(len(rows)), counts)
-        new_ids, new_scores = np.full((len(rows), wide), np.iinfo(np.int64).max), np.full((len(rows), wide), _NONE, np.int64)
-        new_ids[row, column], new_scores[row, column] = ids[v], score
-        self.ids[rows], self.scores[rows] = _merge(np.concatenate([self.ids[rows], new_ids], 1), np.concatenate([self.scores[rows], new_scores], 1), self.k)
-
-    def block(self, ids: np.ndarray, cells: np.ndarray, exact) -> None:
-        """`exact` gives the block's exact vectors when they are needed."""
-        # 2 * bound = q . (2 middle) + |q| . (width - 1), at most a rounding error off beyond 2^53
-        bound = self.as_float @ self.grid.middle(cells).astype(np.float64).T + self.reach[:, None]
-        bound += np.abs(bound) * 1e-12
-        bound[ids[None, :] == self.query_ids[:, None]] = -np.inf
-        step, x = max(2 * self.k, 16), None
-        while True:
-            kth = 2.0 * self.scores[:, -1].astype(np.float64)
-            open_ = (bound >= kth[:, None] - np.abs(kth[:, None]) * 1e-12) & (bound > -np.inf)
-            left = open_.sum(axis=1)
-            rows = np.flatnonzero(left)
-            if not len(rows):
-                return
-            x = exact() if x is None else x
-            m = min(step, bound.shape[1])
-            # the queries' next vectors in the order of their bounds
-            sub = bound[rows]
-            nearest = np.argpartition(-sub, m - 1, axis=1)[:, :m] if m < sub.shape[1] else np.broadcast_to(np.arange(m), (len(rows), m))
-            use = np.take_along_axis(open_[rows], nearest, 1)
-            q, v = np.repeat(rows, m)[use.ravel()], nearest.ravel()[use.ravel()]
-            self._take(q, v, ids, x)
-            bound[q, v] = -np.inf
-            step *= 2
-
-    def rows(self) -> pa.RecordBatch:
-        found = self.scores > _NONE
-        q = np.repeat(self.query_ids, found.sum(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(self.ids[found]), pa.array(self.scores[found])], names=["query_id", "vec_id", "score"])
-
-
-def _scanned(slab, grid: Grid, k: int):
+
+def _scanned(shared, grid: Grid, k: int):
     def run(batches):
-        query_ids, queries = slab.value
-        scan = Scan(query_ids, queries, grid, k)
+        query_ids, q = shared.value
+        slack, kept, limit = grid.slack(q), _Kept(len(q), k), 1 << 20
         for batch in batches:
             for row in range(len(batch)):
-                n = batch.column("n")[row].as_py()
-                get = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)  # noqa: B023, E731
-                scan.block(get("ids", "<i8").astype(np.int64), get("cells", np.uint8).reshape(n, -1), lambda: get("exact", "<i4").reshape(n, -1).astype(np.int64))  # noqa: B023
-        yield scan.rows()
+                ids = np.frombuffer(batch.column("ids")[row].as_buffer(), "<i8")
+                middle = grid.middle(np.frombuffer(batch.column("cells")[row].as_buffer(), np.uint8).reshape(len(ids), -1))
+                for i in range(0, len(q), STRIPE):
+                    near = q[i : i + STRIPE] @ middle.T
+                    near[query_ids[i : i + STRIPE, None] == ids[None, :]] = -np.inf
+                    kept.add(i, near, slack[i : i + STRIPE], ids, batch.column("block")[row].as_py())
+                if kept.rows > limit:
+                    kept.pruned(slack)
+                    limit = max(1 << 20, 2 * kept.rows)
+        out = kept.pruned(slack)
+        for i in range(0, len(out), 1 << 16):
+            o = out[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(o["q"]), pa.array(query_ids[o["q"]]), pa.array(o["id"]), pa.array(o["block"]), pa.array(o["place"]), pa.array(o["middle"] + slack[o["q"]]), pa.array(slack[o["q"]])], names=["query", "query_id", "vec_id", "block", "place", "bound", "slack"])
+
+    return run
+
+
+def _read(shared, k: int, kind: str):
+    """One block: exact scores of its candidates in the order of their bounds, and how many vectors were read."""
+
+    def run(blocks: pa.Table, may: pa.Table) -> pa.Table:
+        query_ids, vec_ids, scores, reads = [], [], [], []
+        if len(blocks) and len(may):
+            queries = shared.value[1]
+            x = np.frombuffer(blocks.column("exact")[0].as_buffer(), kind).reshape(-1, queries.shape[1])
+            may = may.sort_by([("query", "ascending"), ("bound", "descending")])
+            query, query_id, vec_id, place, bound = (may.column(c).to_numpy() for c in ("query", "query_id", "vec_id", "place", "bound"))
+            at = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+            for i, j in zip(at, np.append(at[1:], len(query))):
+                s, mine, kth = i, [], -np.inf
+                while s < j and bound[s] >= kth - abs(kth) * 1e-12:
+                    e = min(j, s + max(k, s - i))  # k at first, then as many again as were read
+                    mine += map(int, products(np.broadcast_to(queries[query[i]], (e - s, x.shape[1])), integers(x[place[s:e]])))
+                    s = e
+                    if len(mine) >= k:
+                        kth = float(sorted(mine)[-k])
+                query_ids.append(query_id[i:s])
+                vec_ids.append(vec_id[i:s])
+                scores += map(str, mine)
+                reads += [s - i] + [0] * (s - i - 1)
+        empty = np.empty(0, np.int64)
+        return pa.table({"query_id": np.concatenate([empty, *query_ids]), "vec_id": np.concatenate([empty, *vec_ids]), "score": pa.array(scores, pa.string()), "read": pa.array(reads, pa.int64())})
 
     return run
 
 
-def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, slab: int = SLAB, size: int = BLOCK, cells: int = CELLS) -> DataFrame:
-    """query_id, rank, vec_id, score (integer inner product) of the k best of each row for which `is_query` holds."""
+def search(
+    rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, slab_bytes: int = SLAB_BYTES, size: int = BLOCK, cells: int = CELLS, with_reads: bool = False,
+) -> DataFrame:
+    """query_id, rank, vec_id, score (integer inner product) of the k best of each row for which `is_query` holds.
+
+    `with_reads` adds read, the number of exact vectors that were read for the query.
+    """
     spark = rows.sparkSession
-    good = usable(rows, id_col, vector_col)
-    first = good.select("vector").first()
-    if first is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    whole = lambda x: F.floor(F.lit(256.0) * x.cast("double"))
-    ends = good.agg(*[f(whole(F.col("vector")[i]).cast("double")) for f in (F.min, F.max) for i in range(len(first[0]))]).first()
-    ends = np.clip(np.array(list(ends), np.float64), -LIMIT, LIMIT).astype(np.int64).reshape(2, -1)
-    grid = Grid(ends[0], ends[1], cells)
-    file = staged(good.mapInArrow(_file(grid, size), _FILE), "vafile")
-    queries = good.where(is_query).dropDuplicates(["vec_id"])
-    slabs = max(1, math.ceil(queries.count() / slab))
+    result = _RESULT + ", read long" * with_reads
+    good = v.usable(rows, id_col, vector_col)
+    pool, queries = staged(v.candidates(good, k), "pool"), staged(v.queries(good, is_query), "queries")
+    first = pool.select("vector").first()
+    asked = queries.count()
+    if first is None or not asked:
+        return spark.createDataFrame([], result)
+    dim, kind = len(first[0]), {"float": "<f4", "double": "<f8"}.get(pool.schema["vector"].dataType.elementType.typeName(), "<f8")
+    if kind == "<f8":
+        pool = pool.withColumn("vector", F.col("vector").cast("array<double>"))
+    ends = pool.agg(F.max(F.lit(0)), *[f(F.lit(256.0) * F.col("vector")[i].cast("double")) for f in (F.min, F.max) for i in range(dim)]).first()
+    grid = Grid(*np.floor(np.array(list(ends)[1:], np.float64)).reshape(2, -1), cells)
+    # an id with m vectors may take m of the best places: so many times k vectors hold the k best ids
+    k_vectors = k * pool.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    file = staged(pool.mapInArrow(_file(grid, size), _FILE), "vafile")
+    slabs = math.ceil(asked * dim * 8 / slab_bytes)
     found = None
     for s in range(slabs):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(slabs)) == s).toArrow()
+        part = queries.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(slabs)) == s).toArrow()
         if not len(part):
             continue
-        shared = spark.sparkContext.broadcast((part.column("vec_id").to_numpy(), as_integers(block(part.column("vector").combine_chunks()))))
-        pairs = file.mapInArrow(_scanned(shared, grid, k), "query_id long, vec_id long, score long")
+        shared = spark.sparkContext.broadcast((part.column("vec_id").to_numpy(), integers(block(part.column("vector")))))
+        may = file.select("block", "ids", "cells").mapInArrow(_scanned(shared, grid, k_vectors), _MAY)
+        group = Window.partitionBy("query")
+        may = may.withColumn("_rank", F.row_number().over(group.orderBy(F.desc("bound"))))
+        may = may.withColumn("_kth", F.when(F.max("_rank").over(group) >= k_vectors, F.min(F.when(F.col("_rank") <= k_vectors, F.col("bound"))).over(group)))
+        may = may.where(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - 2 * F.col("slack"))).drop("_rank", "_kth", "slack")
+        pairs = file.select("block", "exact").groupBy("block").cogroup(may.groupBy("block")).applyInArrow(_read(shared, k_vectors, kind), "query_id long, vec_id long, score string, read long")
         found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    found = staged(found.withColumn("score", F.col("score").cast("decimal(38,0)")), "scores")
+    exact = F.when(F.abs("score") > F.lit((1 << 63) - 1), F.raise_error(F.lit("a score is beyond a long")).cast("long")).otherwise(F.col("score").cast("long"))
+    best = v.ranked(found, k).withColumn("score", exact)
+    if with_reads:
+        best = best.join(found.groupBy("query_id").agg(F.sum("read").alias("read")), "query_id").select("query_id", "rank", "vec_id", "score", "read")
+    return best
