@@ -9,6 +9,7 @@ are filled, the others share what is left by weight. Only leaf totals take part,
 A leaf that gets A tokens of its L takes floor(A / L) whole epochs and, of the next epoch, the longest prefix of at most
 the remaining tokens in that epoch's seeded order, md5(seed:epoch:doc_id). The prefix is found in two steps: token sums
 of 4096 ranges of the order (so a leaf with a third of all rows is dealt over 4096 groups), then the place within them.
+Leaves are joined to rows by a broadcast of checked size, or salted.
 It is stored as the order's last value, so selecting documents needs no shuffle of texts.
 
 Defined results: null texts hold no tokens; null names count as the name ''; documents without tokens go with whole
@@ -22,7 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 LEVELS = ("domain", "lang", "source")
+#: Leaves are broadcast up to this number (about 200 bytes each); more are joined by a shuffle over SALTS parts a leaf.
+MOST_LEAVES, SALTS = 100_000, 64
 _KEYS = tuple(f"_{level}" for level in LEVELS)
 
 
@@ -82,7 +87,15 @@ def sizes(docs: DataFrame, domain: Column, tokens=word_tokens) -> DataFrame:
     return docs.select(*_leaf(domain), F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("_tokens"))
 
 
-def plan(rows: DataFrame, *, budget: float | None, fraction: float, weights: dict[str, dict[str, float]], max_epochs: int, seed: int) -> DataFrame:
+def with_leaves(rows: DataFrame, leaves: DataFrame, most: int = MOST_LEAVES) -> DataFrame:
+    """`rows` joined to their leaf, so that a leaf with a third of all rows isn't one task: by a broadcast of checked size, or salted."""
+    if leaves.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(leaves), list(_KEYS))
+    salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*_KEYS, "_salt"]).drop("_salt")
+
+
+def plan(rows: DataFrame, *, budget: float | None, fraction: float, weights: dict[str, dict[str, float]], max_epochs: int, seed: int, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """For each leaf: n_tokens, allot, epochs (whole ones) and last (the place that ends the prefix; null: no prefix)."""
     leaves = rows.groupBy(*_KEYS).agg(F.sum("_tokens").alias("n_tokens"))
     if budget is None:
@@ -91,7 +104,8 @@ def plan(rows: DataFrame, *, budget: float | None, fraction: float, weights: dic
     whole = F.when(F.col("n_tokens") > 0, F.floor(F.col("allot") / F.col("n_tokens"))).otherwise(F.lit(1)).cast("int")
     leaves = leaves.withColumn("epochs", F.least(whole, F.lit(max_epochs)))
     leaves = leaves.withColumn("_room", F.when(F.col("epochs") < max_epochs, F.col("allot") - F.col("epochs") * F.col("n_tokens")))
-    placed = rows.join(leaves.where("_room > 0").select(*_KEYS, "epochs", "_room"), list(_KEYS))
+    leaves = staged(leaves, "leaves")
+    placed = with_leaves(rows, leaves.where("_room > 0").select(*_KEYS, "epochs", "_room"), most_leaves)
     placed = placed.withColumn("place", _place(seed, F.col("epochs") + 1)).withColumn("_range", F.substring("place", 1, 3))
     ranges = placed.groupBy(*_KEYS, "_range").agg(F.sum("_tokens").alias("_sum"))
     before = Window.partitionBy(*_KEYS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,11 +116,11 @@ def plan(rows: DataFrame, *, budget: float | None, fraction: float, weights: dic
     return leaves.join(last, list(_KEYS), "left").drop("_room")
 
 
-def select(docs: DataFrame, planned: DataFrame, domain: Column, seed: int) -> DataFrame:
+def select(docs: DataFrame, planned: DataFrame, domain: Column, seed: int, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """`docs` once for each epoch that takes the row, with a column epoch (from 1)."""
     docs = docs.drop("epoch")
     leaves = planned.select(*_KEYS, F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", *_leaf(domain)).join(leaves, list(_KEYS))
+    rows = with_leaves(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", *_leaf(domain)), leaves, most_leaves)
     more = F.coalesce(_place(seed, F.col("_epochs") + 1) <= F.col("_last"), F.lit(False)).cast("int")
     rows = rows.withColumn("_times", F.col("_epochs") + more).where("_times > 0")
     return rows.select("_row.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("epoch"))

@@ -41,14 +41,9 @@ def _level(name: str, level: str, keys: str, parent: str | None) -> str:
     THEN (budget - coalesce(sum(capacity) FILTER (is_full) OVER w, 0)) * weight / sum(weight) FILTER (NOT is_full) OVER w ELSE 0 END) END AS budget FROM {name}_f WINDOW w AS (PARTITION BY {over}))"""
 
 
-# DuckDB has no crc32: the checksum of each source is looked up in a table of the sources' domains
 def _op10() -> str:
-    import zlib
-
-    domains = ", ".join(f"('src{i}', 'd{zlib.crc32(f'src{i}'.encode()) % 3}')" for i in range(20))
     return rf"""
-WITH dom(source, domain) AS (VALUES {domains}),
-rows_ AS (SELECT doc_id, domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents JOIN dom USING (source)),
+WITH rows_ AS (SELECT doc_id, 'd' || CAST(CAST('0x' || substr(md5(coalesce(source, '')), 1, 7) AS BIGINT) % 3 AS VARCHAR) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS n_tokens FROM rows_ GROUP BY ALL),
 total AS (SELECT CAST(floor(sum(n_tokens) * 0.6) AS DOUBLE) AS budget FROM leaves),
 {_level('a', 'domain', 'domain', None)},

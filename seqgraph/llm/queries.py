@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from . import chat_format, compression_quality, cross_entropy, cross_polytope, mixing, sentencepiece_viterbi, simhash_dedup, substring_dedup, token_files, va_file
 from .common import staged, table
 
-TOKENIZERS = "/opt/tokenizers"
 #: Weights of the mixing query; names that aren't listed weigh 1.
 WEIGHTS = {"domain": {"d0": 5.0, "d1": 3.0, "d2": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {"src0": 1.0}}
 MIX_SEED = 20240229
@@ -21,8 +20,9 @@ def tokenizer_file(name: str) -> str:
 
 
 def source_domain() -> F.Column:
-    """A stand-in for a table of source domains: three domains by the source's checksum."""
-    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(3)).cast("string"))
+    """A stand-in for a table of source domains: three domains by the source's digest."""
+    digest = F.md5(F.coalesce(F.col("source"), F.lit("")).cast("binary"))
+    return F.concat(F.lit("d"), F.pmod(F.conv(F.substring(digest, 1, 7), 16, 10).cast("long"), F.lit(3)).cast("string"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

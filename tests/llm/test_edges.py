@@ -345,6 +345,11 @@ def test_mixing(docs, none):
     weights = {"domain": {}, "lang": {"en": 3.0}, "source": {"a": 2.0}}
     for budget in (0, 50, 1000, 10**9):
         planned = mixing.plan(rows, budget=budget, fraction=0.5, weights=weights, max_epochs=3, seed=1).cache()
+        salted = mixing.plan(rows, budget=budget, fraction=0.5, weights=weights, max_epochs=3, seed=1, most_leaves=0)
+        key = lambda r: tuple(map(str, r))
+        assert sorted(planned.collect(), key=key) == sorted(salted.collect(), key=key)
+        both = [sorted(mixing.select(docs, planned, source_domain(), 1, most).select("doc_id", "epoch").collect(), key=key) for most in (0, 1000)]
+        assert both[0] == both[1]
         assert sum(r["allot"] for r in planned.collect()) <= min(budget, 3 * rows.agg(F.sum("_tokens")).first()[0])
         chosen = mixing.select(docs, planned, source_domain(), 1)
         assert set(chosen.columns) == set(docs.columns)
