@@ -2,10 +2,11 @@
 
 A conversation's turns (rows by turn; ties by role, then text) cost tokens: words and signs of the text plus a fixed
 `overhead` for the markers. Prefix sums of those costs choose spans of whole turns: a span ends before the turn that
-would pass the budget, so only a turn that is larger than the budget stands in a longer span of its own. Each
-span becomes one window: the conversation's first system turn if the window lacks it, then earlier turns that began at
-most `history` tokens before the span, then the span. Earlier turns are repeated as context only: the loss mask
-covers the texts of the span's own assistant turns, each exactly once over all windows.
+would pass what the budget leaves beside `history` and `system`, so only a turn that is larger than that stands in a
+longer span of its own. Each span becomes one window: the conversation's first system turn if the window lacks it (of a
+longer one, the beginning of `system` tokens), then earlier turns that began at most `history` tokens before the span,
+then the span. So no window passes the budget but those of one turn that is too large. Earlier turns are repeated as
+context only: the loss mask covers the texts of the span's own assistant turns, each exactly once over all windows.
 
 Large conversations are cut into segments of `segment` budgets by prefix sums; spans never cross a segment, so no
 task gathers more than a segment. Prefix sums run in two levels (blocks of `block` turn numbers, then turns), so one
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 BUDGET = 1024
 HISTORY = 256
 OVERHEAD = 4
+SYSTEM = 256
 SEGMENT = 32
 BLOCK = 256
 
@@ -60,43 +62,62 @@ def _costed(turns: DataFrame, tokens, overhead: int) -> DataFrame:
     return rows.withColumn("cost", tokens(F.col("text")).cast("long") + F.lit(overhead))
 
 
-def _with_prefix(rows: DataFrame, block: int) -> DataFrame:
-    """Adds `at`, the tokens of the conversation before the row, and `seq`, the turns before it."""
-    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
-    before = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("conv_id", "_block").agg(F.sum("cost").alias("_cost"), F.count(F.lit(1)).alias("_n"))
-    sums = sums.select("conv_id", "_block", F.coalesce(F.sum("_cost").over(before), F.lit(0)).alias("_cost"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
-    within = Window.partitionBy("conv_id", "_block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_at", F.coalesce(F.sum("cost").over(within), F.lit(0))).withColumn("_seq", F.count(F.lit(1)).over(within))
-    on = rows["conv_id"].eqNullSafe(sums["conv_id"]) & (rows["_block"] == sums["_block"])
-    return rows.join(sums, on).select(rows["conv_id"], "turn", "role", "text", "cost", (F.col("_at") + F.col("_cost")).alias("at"), (F.col("_seq") + F.col("_n")).alias("seq"))
-
+def first_tokens(text: Column, n: int) -> Column:
+    """The beginning of a text up to its n-th token of `word_tokens`."""
+    return F.regexp_extract(text, rf"^(?:[^\p{{L}}\p{{M}}\p{{N}}\S]*(?:[\p{{L}}\p{{M}}\p{{N}}]++|[^\s\p{{L}}\p{{M}}\p{{N}}])){{0,{n}}}", 0)
 
-def _first_system(rows: DataFrame) -> DataFrame:
-    first = rows.where("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("seq", "text", "cost"), "seq").alias("system"))
-    return first.withColumnRenamed("conv_id", "_conv")
 
+def _with_prefix(rows: DataFrame, block: int, keep: int, overhead: int, cut, tokens) -> DataFrame:
+    """Adds `at`, the tokens of the conversation before the row, `seq`, the turns before it, and `system`, its first system turn
+    as windows repeat it; and `last`, the cost of the row before in its block.
 
-def format_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, overhead: int = OVERHEAD, tokens=word_tokens, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
+    The system turn comes with the block's sums: rows never meet in a group of their whole conversation.
+    """
+    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
+    within = Window.partitionBy("conv_id", "_block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", F.coalesce(F.sum("cost").over(within), F.lit(0))).withColumn("_seq", F.count(F.lit(1)).over(within))
+    rows = rows.withColumn("last", F.lag("cost").over(Window.partitionBy("conv_id", "_block").orderBy("turn", "role", "text")))
+    is_system = F.col("role") == "system"
+    first = F.min_by(F.when(is_system, F.struct("_seq", "text", "cost")), F.when(is_system, F.col("_seq")))
+    sums = rows.groupBy("conv_id", "_block").agg(F.sum("cost").alias("_cost"), F.count(F.lit(1)).alias("_n"), first.alias("_system"))
+    blocks = Window.partitionBy("conv_id").orderBy("_block")
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("conv_id", "_block", F.coalesce(F.sum("_cost").over(before), F.lit(0)).alias("_cost"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), "_system")
+    # blocks after the first system turn carry it, cut to `keep` tokens; earlier ones never repeat it
+    seen = F.first(F.when(F.col("_system").isNotNull(), F.struct((F.col("_system._seq") + F.col("_n")).alias("seq"), F.col("_system.text").alias("text"), F.col("_system.cost").alias("cost"))), ignorenulls=True)
+    sums = sums.withColumn("system", seen.over(blocks.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    long = F.col("system.cost") > keep
+    text = F.when(long, cut(F.col("system.text"), max(0, keep - overhead))).otherwise(F.col("system.text"))
+    sums = sums.withColumn("_text", text)
+    sums = sums.withColumn("system", F.when(F.col("system").isNotNull(), F.struct(F.col("system.seq").alias("seq"), F.col("_text").alias("text"), F.when(long, tokens(F.col("_text")).cast("long") + overhead).otherwise(F.col("system.cost")).alias("cost"))))
+    sums = sums.select(F.col("conv_id").alias("_conv"), F.col("_block").alias("_of"), "_cost", "_n", "system")
+    return rows.join(sums, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_block") == F.col("_of"))).select("conv_id", "turn", "role", "text", "cost", (F.col("_at") + F.col("_cost")).alias("at"), (F.col("_seq") + F.col("_n")).alias("seq"), "last", "system")
+
+
+def format_windows(
+    turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, overhead: int = OVERHEAD, tokens=word_tokens, cut=first_tokens, segment: int = SEGMENT, block: int = BLOCK,
+) -> DataFrame:
     """conv_id, segment, window (numbered within the segment), formatted, own_from, loss_spans, n_turns, n_repeated, n_tokens.
 
     `formatted` is the window's text. The span's own turns begin at code point `own_from`; `loss_spans` holds the
-    code point ranges [from, to) under the loss mask. `tokens` maps a text Column to a count Column.
+    code point ranges [from, to) under the loss mask. `tokens` maps a text Column to a count Column, `cut` a text and a
+    number to the beginning of that text with at most so many of these tokens.
     """
-    if not 0 <= history <= budget // 2:
-        raise ValueError("history must lie between 0 and half the budget")
-    rows = _with_prefix(_costed(turns, tokens, overhead), block)
-    system = _first_system(rows)
-    rows = rows.join(system, rows["conv_id"].eqNullSafe(system["_conv"]), "left").drop("_conv")
-    # what a span may hold: the budget without its history and without the system turn, but half the budget at least
-    room = F.greatest(F.lit(budget // 2), F.lit(budget - history) - F.coalesce(F.col("system.cost"), F.lit(0)))
+    if history < 0 or system < overhead or budget - history - system <= 0:
+        raise ValueError("history and system must leave room in the budget, and system must hold a turn's overhead")
+    rows = _with_prefix(_costed(turns, tokens, overhead), block, system, overhead, cut, tokens)
+    # what a span may hold, the same for all of a conversation: the budget without history and without a system turn
+    room = F.lit(budget - history - system)
     rows = rows.withColumn("room", room.cast("long"))
     size = F.col("room") * segment
     own = F.floor(F.col("at") / size)
+    # the first row of a segment within its block is enough to carry the system turn there
+    leads = F.col("last").isNull() | (F.floor((F.col("at") - F.col("last")) / size) < own)
+    rows = rows.withColumn("system", F.when(leads, F.col("system")))
     near_end = F.col("at") + F.lit(history) >= (own + 1) * size
     rows = rows.withColumn("segment", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("own", F.col("segment") == own)
     turn = F.struct("seq", "at", "cost", "own", "role", "text")
-    parts = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first("system").alias("system"), F.first("room").alias("room"))
+    parts = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.max_by("system", F.when(F.col("system").isNotNull(), F.col("seq"))).alias("system"), F.first("room").alias("room"))
     parts = parts.withColumn("first", F.filter("turns", lambda t: t["own"])).where(F.size("first") > 0)
 
     # greedy spans: state = starts so far, the last one's prefix sum
