@@ -29,7 +29,6 @@ from .unit_coder import UnitCoder
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
-_spare = "\uffff\ufffe\ufdd0\ufdd1\ufdd2"
 
 
 class Model:
@@ -58,13 +57,38 @@ class Model:
             raise ValueError("the model has no byte pieces, so decoding couldn't be exact")
         self.unknown = least - UNKNOWN_PENALTY
         self.single = {p for p in normal if len(p) == 1}
+        self.longest = max(map(len, normal), default=1)
         self.cuts = not any(MARK in p.lstrip(MARK) for p in normal)
         self.bytes = [p.replace(MARK, " ").encode() if p in set_ else b"" for set_ in (set(normal),) for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
 
-    def segment(self, text: str) -> list[int]:
-        """ids of a text whose spaces are marks already."""
+    def segment(self, text: str, block: int = 1 << 16) -> list[int]:
+        """ids of a text whose spaces are marks already; long texts in blocks, so that memory stays flat.
+
+        Each best path to a later sign passes one of the last `longest` places of a block. Where their paths meet, the
+        segmentation before is settled: it leaves, and the next block begins there.
+        """
+        if len(text) <= block:
+            return self._path(*self._relaxed(text), len(text), text)
+        out, at, size = [], 0, block
+        while at < len(text):
+            part = text[at : at + size]
+            best, back = self._relaxed(part)
+            if at + size >= len(text):
+                return out + self._path(best, back, len(part), part)
+            ends = {p for p in range(len(part) - self.longest + 1, len(part) + 1) if best[p] > float("-inf")}
+            while len(ends) > 1:
+                p = max(ends)
+                ends.remove(p)
+                ends.add(p - back[p][1])
+            met = ends.pop()
+            out += self._path(best, back, met, part)
+            at, size = at + met, block if met else 2 * size
+        return out
+
+    def _relaxed(self, text: str) -> tuple[list[float], list[tuple[int, int]]]:
+        """The best sum up to each place, and the piece (-1: a sign without one) and length that it ends with."""
         n, single, unknown = len(text), self.single, self.unknown
         best, back, done = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1), 0
 
@@ -81,7 +105,10 @@ class Model:
             if value > best[end + 1]:
                 best[end + 1], back[end + 1] = value, (piece, size)
         pass_unknown(n)
-        ids, p = [], n
+        return best, back
+
+    def _path(self, best: list, back: list, p: int, text: str) -> list[int]:
+        ids = []
         while p:
             piece, size = back[p]
             p -= size
@@ -91,15 +118,13 @@ class Model:
     def unit(self, raw: bytes, opens: int) -> list[int]:
         """ids of a unit of a text; `opens`: it begins the text, so the model's dummy prefix comes first."""
         text = raw.decode()
-        if MARK in text:  # literal marks pass as bytes, in the place of a sign that no piece has
-            spare = next(c for c in _spare if c not in text and c not in self.single)
-            ids = self.segment((" " * opens + text).replace(MARK, spare).replace(" ", MARK))
-            hidden, seen = [self.byte_ids[b] for b in spare.encode()], [self.byte_ids[b] for b in MARK.encode()]
-            for i in range(len(ids) - len(hidden) + 1):
-                if ids[i : i + len(hidden)] == hidden:
-                    ids[i : i + len(hidden)] = seen
-            return ids
-        return self.segment((" " * opens + text).replace(" ", MARK))
+        if MARK not in text:
+            return self.segment((" " * opens + text).replace(" ", MARK))
+        # a literal mark passes as bytes; no piece reaches across it
+        mark, out = [self.byte_ids[b] for b in MARK.encode()], []
+        for i, part in enumerate((" " * opens + text).split(MARK)):
+            out += mark * (i > 0) + self.segment(part.replace(" ", MARK))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.unit(text.encode(), 1) if text else []

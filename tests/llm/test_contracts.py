@@ -141,9 +141,39 @@ def test_op7(spark, small, documents):
 
 
 def test_op8(spark, small, documents):
-    got = {r["doc_id"]: r for r in q.op8_sentencepiece(spark, small).collect()}
+    """Whole-query ids against a plain Viterbi over all pieces, and the exact round trip."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=q.tokenizer_file("piece_bpe_32k.model"))
+    byte, score, ident = {}, {}, {}
+    for i in range(sp.get_piece_size()):
+        if sp.is_byte(i):
+            byte[int(sp.id_to_piece(i)[3:5], 16)] = i
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            score[sp.id_to_piece(i)], ident[sp.id_to_piece(i)] = sp.get_score(i), i
+    unknown, longest = min(score.values()) - 10, max(map(len, score))
+
+    def plain(text):
+        text, n = "\u2581" + text.replace(" ", "\u2581"), len(text) + 1
+        best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        for e in range(1, n + 1):
+            for s in range(max(0, e - longest), e):
+                value = best[s] + score.get(text[s:e], unknown if e - s == 1 else float("-inf"))
+                if value > best[e]:
+                    best[e], back[e] = value, s
+        out, e = [], n
+        while e:
+            piece = text[back[e] : e]
+            out += [ident[piece]] if piece in ident else [byte[b] for b in reversed(piece.encode())]
+            e = back[e]
+        return out[::-1]
+
+    got, seen = {r["doc_id"]: r for r in q.op8_sentencepiece(spark, small).collect()}, 0
     for d, text in documents:
         assert got[d]["decoded_sha256"] == sha(text) and got[d]["n_tokens"] == len(got[d]["ids"])
+        if text and "\u2581" not in text and seen < 1_000_000:
+            seen += len(text)
+            assert list(got[d]["ids"]) == plain(text), d
 
 
 def test_op9(spark, small, documents):
