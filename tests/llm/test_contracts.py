@@ -177,34 +177,28 @@ def test_op8(spark, small, documents):
 
 
 def test_op9(spark, small, documents):
+    """All documents against counts in dictionaries, each scored without its own counts."""
     from math import log2
 
-    good = {d for d, v in duckdb.connect().execute(f"SELECT doc_id, quality FROM '{small}/labels.parquet'").fetchall() if v == 1}
-    counts = {flag: [Counter(), Counter(), Counter()] for flag in (False, True)}
-    followers = {flag: [defaultdict(set), defaultdict(set), defaultdict(set)] for flag in (False, True)}
-    signs = {d: [257, 257, *(t or "").encode(), 256] for d, t in documents}
-    for d, s in signs.items():
-        for i in range(2, len(s)):
-            for n in range(3):
-                counts[d in good][n][tuple(s[i - n : i + 1])] += 1
-                followers[d in good][n][tuple(s[i - n : i])].add(s[i])
-    totals = {flag: [Counter() for _ in range(3)] for flag in counts}
-    for flag, orders in counts.items():
-        for n, found in enumerate(orders):
-            for gram, c in found.items():
-                totals[flag][n][gram[:-1]] += c
-
-    def p(flag, gram):
-        if not gram:
-            return 1 / 258
-        n = len(gram) - 1
-        total, kinds = totals[flag][n][gram[:-1]], len(followers[flag][n][gram[:-1]])
-        low = p(flag, gram[1:])
-        return low if not total else (counts[flag][n][gram] + kinds * low) / (total + kinds)
+    from seqgraph.llm.cross_entropy import A, B
 
+    good = {d for d, v in duckdb.connect().execute(f"SELECT doc_id, quality FROM '{small}/labels.parquet'").fetchall() if v == 1}
+    tokens = {d: ["<s>", *WORD.findall(t or ""), "</s>"] for d, t in documents}
+    vocabulary = len({w for t in tokens.values() for w in t[1:]})
+    words, pairs = {flag: Counter() for flag in (False, True)}, {flag: Counter() for flag in (False, True)}
+    for d, t in tokens.items():
+        words[d in good].update(t)
+        pairs[d in good].update(zip(t, t[1:]))
     got = {r["doc_id"]: r for r in q.op9_cross_entropy(spark, small).collect()}
-    assert set(got) == set(signs)
-    for d in sorted(signs, key=lambda d: len(signs[d]))[:40]:
-        s = signs[d]
-        losses = [log2(p(False, tuple(s[i - 2 : i + 1]))) - log2(p(True, tuple(s[i - 2 : i + 1]))) for i in range(2, len(s))]
-        assert got[d]["n_tokens"] == len(losses) and got[d]["score"] == pytest.approx(sum(losses) / len(losses), abs=1e-4)
+    assert set(got) == set(tokens)
+    for d, t in tokens.items():
+        own_words, own_pairs, loss = Counter(t), Counter(zip(t, t[1:])), []
+        for flag in (True, False):
+            mine = int((d in good) == flag)
+            n = sum(words[flag].values()) - words[flag]["<s>"] - mine * (len(t) - 1)
+            c = lambda found, own, key: found[key] - mine * own[key]  # noqa: B023, E731
+            low = {w: (c(words[flag], own_words, w) + A / vocabulary) / (n + A) for w in own_words}
+            loss.append(sum(-log2((c(pairs[flag], own_pairs, (h, w)) + B * low[w]) / (c(words[flag], own_words, h) + B)) for h, w in zip(t, t[1:])) / (len(t) - 1))
+        r = got[d]
+        assert r["n_tokens"] == len(t) - 1 and (r["loss_target"], r["loss_background"]) == (pytest.approx(loss[0]), pytest.approx(loss[1]))
+        assert r["score"] == pytest.approx(loss[0] - loss[1], abs=1e-9)

@@ -368,6 +368,9 @@ def test_cross_entropy(spark, docs, none):
     got = cross_entropy.score(docs, ids).collect()
     assert len(got) == docs.count() and all(r["n_tokens"] >= 1 and np.isfinite(r["score"]) for r in got)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (3, 4)} == {1}
+    small = cross_entropy.score(docs, ids, bucket_keys=100, chunk_bytes=500)  # many chunks and buckets, the same scores
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 9), round(r["loss_background"], 9))
+    assert sorted(map(key, small.collect())) == sorted(map(key, got))
     assert cross_entropy.score(none, ids).count() == 0 and cross_entropy.score(docs, ids.where("false")).count() == docs.count()
 
 
