@@ -9,10 +9,10 @@ So a window can only repeat if the block it holds also occurs elsewhere as some
 3. extend  anchors to the windows around them; those that repeat word for word (compared by 96-bit fingerprints)
            join into maximal exact repeats, whose words are removed.
 
-Documents travel as chunks: rows of compressed record batches of a bounded size. For each hash bucket a chunk sends
-sorted, distinct values with a mark for "twice or more in this chunk", so a passage that is shared by a third of all
-documents adds one value per chunk and bucket, whatever its count; no pair of occurrences is ever made. Buckets are
-sized from the corpus' byte count. Exact copies of a document are found in the same exchange, by a 128-bit
+Documents travel as chunks: rows of compressed record batches of a bounded size; units of a few chunks speak with the
+hash buckets (units.py). For each bucket that it has values for, a unit sends its sorted, distinct values and those that
+it has twice or more, so a passage that is shared by a third of all documents adds one value per unit, whatever its
+count; no pair of occurrences is ever made. Buckets are sized from the corpus' byte count. Exact copies of a document are found in the same exchange, by a 128-bit
 fingerprint; one of them stands for all in step 3.
 
 Defined results: null text counts as empty (no words, nothing removed); repeated rows are documents of their own, so
@@ -29,88 +29,25 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hash, Texts, mix64, new_path, slices, trim
+from . import units
+from .common import Hash, Texts, mix64, new_path, trim
+from .units import CHUNK_BYTES, Parts, Replies, bucket, flat, groups, residual
 
 WINDOW = 35
-CHUNK_BYTES = 4 << 20
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 8_000_000
 #: Bytes of text that a word takes at least on average; with fewer bytes a bucket holds more words, never fewer results.
 WORD_BYTES = 6
 
 _A, _B = Hash(11), Hash(23)
-_SENT = "bucket int, chunk long, plain binary, multi binary, blocks binary, docs binary"
-_BACK = "bucket int, chunk long, hits binary, docs binary"
-
-
-# --- chunks ----------------------------------------------------------------------------------------------------------
-
-def _pack(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(blob: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(pa.py_buffer(blob)) as reader:
-        return reader.read_next_batch()
-
-
-def _chunks(size: int):
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        held, seq, total = [], 0, 0
-
-        def flush():
-            nonlocal held, seq, total
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-            row = pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) | seq], pa.int64()), "blob": pa.array([_pack(whole[0])], pa.binary())})
-            held, seq, total = [], seq + 1, 0
-            return row
-
-        for batch in batches:
-            for i, j in slices(batch.column("text"), size):
-                piece = batch.slice(i, j - i)
-                n = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
-                if held and total + n > size:
-                    yield flush()
-                held.append(piece)
-                total += n + 16 * len(piece)
-        if held:
-            yield flush()
-        trim()
-
-    return run
-
-
-# --- compact sets of hashes ------------------------------------------------------------------------------------------
-
-def _squeeze(values: np.ndarray) -> bytes:
-    """Sorted uint32 values as byte planes of their differences; Spark's shuffle compression takes the empty planes."""
-    deltas = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
-    planes = deltas.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return np.ascontiguousarray(planes[: 4 if planes[3].any() else 3]).tobytes() if len(values) else b""
-
-
-def _expand(blob: bytes, planes: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(planes, -1)
-    out = np.zeros((raw.shape[1], 4), np.uint8)
-    out[:, :planes] = raw.T
-    return np.cumsum(out.view("<u4").ravel(), dtype=np.uint32)
-
-
-def _sent_set(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(distinct values, those that occur twice or more); the first byte tells the number of planes."""
-    distinct, counts = np.unique(values, return_counts=True)
-    blob = _squeeze(distinct)
-    planes = len(blob) // len(distinct) if len(distinct) else 4
-    return bytes([planes]) + blob, distinct[counts > 1].astype("<u4").tobytes()
+_SENT = "bucket int, unit long, first int, plain binary, multi binary, blocks binary, sizes binary, docs binary, doc_sizes binary"
+_BACK = "bucket int, unit long, first int, flags binary, sizes binary, doc_flags binary, doc_sizes binary"
+_PRINTS = "bucket int, unit long, prints binary, twice binary, sizes binary"
+_PRINT = np.dtype([("a", "<u8"), ("b", "<u4")])
+_KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 # --- what a chunk computes -------------------------------------------------------------------------------------------
@@ -118,156 +55,143 @@ def _sent_set(values: np.ndarray) -> tuple[bytes, bytes]:
 class _Chunk:
     """Rolling hashes of the documents of a chunk that are long enough to hold a window."""
 
-    def __init__(self, blob: bytes, window: int, second: bool):
-        self.batch = _unpack(blob)
+    def __init__(self, blob, window: int):
+        self.batch = units.unpack(blob)
         self.texts = t = Texts(self.batch.column("text"))
         self.window, self.block = window, (window + 1) // 2
         self.counts = np.diff(t.first)
         self.long = np.flatnonzero(self.counts >= window)
-        self.a = _A.words(t.data, t.starts, t.ends)
-        self.b = _B.words(t.data, t.starts, t.ends) if second else None
-
-    def rolling(self, d: int, size: int, which: int = 0) -> np.ndarray:
-        words = (self.a, self.b)[which][self.texts.first[d] : self.texts.first[d + 1]]
-        return (_A, _B)[which].windows(words, size)
-
-    def blocks(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """All rolling hashes, and the aligned blocks' hashes by document."""
-        rolled, blocks = [], []
+        self.a = _A.words(t.data, t.starts, t.ends) if len(self.long) else None
+        self._b = None
+
+    def rolling(self, d: int, size: int, second: bool = False) -> np.ndarray:
+        if second and self._b is None:  # only chunks with anchors need the second hash
+            t = self.texts
+            self._b = _B.words(t.data, t.starts, t.ends)
+        words = (self._b if second else self.a)[self.texts.first[d] : self.texts.first[d + 1]]
+        return (_B if second else _A).windows(words, size)
+
+    def blocks(self, rolled: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All rolling hashes (if wanted), and the aligned blocks' hashes by document."""
+        every, blocks = [], []
         for d in self.long:
             r = self.rolling(d, self.block)
-            rolled.append(r)
             blocks.append(r[:: self.block])
-        return np.concatenate(rolled) if rolled else np.empty(0, np.uint64), blocks
+            if rolled:
+                every.append(r)
+        return np.concatenate(every) if every else np.empty(0, np.uint64), blocks
 
     def doc_keys(self) -> np.ndarray:
-        """128-bit fingerprints of the long documents' word sequences, as two uint64 columns."""
-        out = np.empty((len(self.long), 2), np.uint64)
+        """128-bit fingerprints of the long documents' word sequences."""
+        out = np.empty(len(self.long), _KEY)
         for i, d in enumerate(self.long):
-            raw = hashlib.blake2b(b" ".join(self.texts.raw(d).split()), digest_size=16).digest()
-            out[i] = np.frombuffer(raw, "<u8")
+            out[i] = np.frombuffer(hashlib.blake2b(b" ".join(self.texts.raw(d).split()), digest_size=16).digest(), _KEY)[0]
         return out
 
 
-def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
-    return (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-
-
-def _residual(values: np.ndarray) -> np.ndarray:
-    return (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def _by_bucket(buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order that groups by bucket, and each bucket's bounds in it."""
-    order = np.argsort(buckets, kind="stable")
-    return order, np.searchsorted(buckets[order], np.arange(n + 1))
+def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def _probe(bits: int, window: int):
-    """Step 1 and 2, map side: blocks and rolling windows of each chunk, by bucket of their hash."""
-    n = 1 << bits
+    """Steps 1 and 2, map side: blocks and rolling windows of each run of a unit's chunks, by bucket of their hash."""
+
+    def said(unit: int, first: int, held: list):
+        every = np.concatenate([r for r, _, _ in held])
+        every.sort()
+        keys = every >> np.uint64(32 - bits)  # bucket and residual
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        distinct, counts = keys[new], np.diff(np.append(new, len(keys)))
+        multi = distinct[counts > 1]
+        low = np.uint64(0xFFFFFFFF)
+        out: dict[int, dict] = {}
+        for name, values in (("plain", distinct), ("multi", multi)):
+            found, bounds = groups((values >> np.uint64(32)).astype(np.int64))
+            for k, key in enumerate(found):
+                part = (values[bounds[k] : bounds[k + 1]] & low).astype("<u4")
+                out.setdefault(int(key), {})[name] = units.squeeze(part) if name == "plain" else part.tobytes()
+        for key, raw, sizes in Parts([residual(b, bits) for _, b, _ in held], [bucket(b, bits) for _, b, _ in held]):
+            out.setdefault(key, {}).update(blocks=raw, sizes=sizes)
+        for key, raw, sizes in Parts([d for _, _, d in held], [bucket(mix64(d["a"]), bits) for _, _, d in held]):
+            out.setdefault(key, {}).update(docs=raw, doc_sizes=sizes)
+        names = [f.name for f in units.schema(_SENT)][3:]
+        yield from units.batches([(key, unit, first, *[row.get(n) for n in names]) for key, row in out.items()], _SENT)
 
     def run(batches):
+        unit, first, held = None, 0, []
         for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-                c = _Chunk(blob.as_py(), window, False)
-                rolled, blocks = c.blocks()
-                if not len(rolled):
-                    continue
-                flat, keys = np.concatenate(blocks), c.doc_keys()
-                ro, rb = _by_bucket(_bucket(rolled, bits), n)
-                bo, bb = _by_bucket(_bucket(flat, bits), n)
-                ko, kb = _by_bucket(_bucket(mix64(keys[:, 0]), bits), n)
-                rolled, flat, keys = _residual(rolled)[ro], _residual(flat)[bo], keys[ko]
-                rows = []
-                for k in range(n):
-                    plain, multi = _sent_set(rolled[rb[k] : rb[k + 1]])
-                    rows.append((k, chunk, plain, multi, flat[bb[k] : bb[k + 1]].astype("<u4").tobytes(), keys[kb[k] : kb[k + 1]].tobytes()))
-                yield from _rows(rows, _SENT)
-                del c, rolled, flat, keys, rows
-                trim()
+            for row in range(len(batch)):
+                here, chunk = batch.column("unit")[row].as_py(), batch.column("chunk")[row].as_py()
+                if here != unit or chunk != first + len(held):
+                    if held:
+                        yield from said(unit, first, held)
+                    unit, first, held = here, chunk, []
+                c = _Chunk(batch.column("blob")[row].as_buffer(), window)
+                every, blocks = c.blocks(True)
+                held.append((every, _joined(blocks), c.doc_keys()))
+                del c
+            trim()
+        if held:
+            yield from said(unit, first, held)
+        trim()
 
     return run
 
 
-def _rows(rows: list[tuple], ddl: str):
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in ddl.split(", ")]
-    for i in range(0, len(rows), 64):
-        part = rows[i : i + 64]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+def _member(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which `values` are in the sorted array `found`."""
+    if not len(found):
+        return np.zeros(len(values), bool)
+    return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
 
 
 def _anchors(group: pa.Table) -> pa.Table:
     """Step 2, one bucket: which blocks occur at two positions or more; which documents are copies (1 first, 2 later)."""
-    rows = group.select(["bucket", "chunk", "plain", "multi", "blocks", "docs"]).to_pylist()
-    rows.sort(key=lambda r: r["chunk"])
-    repeated = _repeated(rows)
-    keys = [np.frombuffer(r["docs"], "<u8").reshape(-1, 2) for r in rows]
-    flat = np.concatenate(keys)
-    _, inverse, counts = np.unique(flat, axis=0, return_inverse=True, return_counts=True) if len(flat) else (None, np.empty(0, np.int64), np.empty(0, np.int64))
-    inverse = inverse.ravel()
-    first = np.zeros(len(flat), bool)
-    first[np.unique(inverse, return_index=True)[1]] = True
-    state = np.where(counts[inverse] > 1, np.where(first, 1, 2), 0).astype(np.uint8)
-    out, at = [], 0
-    for r, k in zip(rows, keys):
-        blocks = np.frombuffer(r["blocks"], "<u4")
-        out.append((r["bucket"], r["chunk"], np.packbits(np.isin(blocks, repeated)).tobytes(), state[at : at + len(k)].tobytes()))
-        at += len(k)
-    return pa.Table.from_batches(list(_rows(out, _BACK)))
-
-
-def _repeated(rows: list[dict]) -> np.ndarray:
-    """Values that occur twice or more over all chunks' sets."""
-    parts = []
-    for r in rows:
-        if len(r["plain"]) > 1:
-            parts.append(_expand(r["plain"][1:], r["plain"][0]))
-        parts.append(np.frombuffer(r["multi"], "<u4"))
-    values = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
-    return np.unique(values[1:][values[1:] == values[:-1]])
-
-
-def _returned(rows: list[dict], buckets: np.ndarray, n: int, field: str, bits: bool) -> np.ndarray:
-    """What the buckets said about a chunk's values, in the chunk's own order."""
-    order, bounds = _by_bucket(buckets, n)
-    out = np.zeros(len(buckets), np.uint8)
-    for r in rows:
-        i, j = bounds[r["bucket"]], bounds[r["bucket"] + 1]
-        raw = np.frombuffer(r[field], np.uint8)
-        out[order[i:j]] = np.unpackbits(raw)[: j - i] if bits else raw
-    return out
+    group = group.sort_by([("unit", "ascending"), ("first", "ascending")]).combine_chunks()
+    plain = group.column("plain").combine_chunks()
+    parts = [units.expand(plain[i].as_buffer()) for i in range(len(plain)) if plain[i].is_valid]
+    values = np.sort(np.concatenate([*parts, flat(group.column("multi"), "<u4")[0]]))
+    repeated = units.groups(values[1:][values[1:] == values[:-1]])[0]
+    del parts, values
+    blocks, n_blocks = flat(group.column("blocks"), "<u4")
+    hits = _member(blocks, repeated).astype(np.uint8)
+    keys, n_docs = flat(group.column("docs"), _KEY)
+    _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    state = np.where(counts[inverse.ravel()] > 1, 2, 0).astype(np.uint8)
+    state[first[counts > 1]] = 1
+    at, doc_at = np.cumsum(n_blocks) - n_blocks, np.cumsum(n_docs) - n_docs
+    same = [group.column(k).to_pylist() for k in ("bucket", "unit", "first", "sizes", "doc_sizes")]
+    rows = [
+        (b, u, f, hits[at[i] : at[i] + n_blocks[i]].tobytes(), sizes, state[doc_at[i] : doc_at[i] + n_docs[i]].tobytes(), doc_sizes)
+        for i, (b, u, f, sizes, doc_sizes) in enumerate(zip(*same))
+    ]
+    return units.as_table(rows, _BACK)
 
 
 class _Candidates:
     """Windows of a chunk that hold an anchor, with their fingerprints."""
 
-    def __init__(self, c: _Chunk, said: list[dict], bits: int):
-        n, w, b = 1 << bits, c.window, c.block
-        rolled = [c.rolling(d, b)[::b] for d in c.long]
-        flat = np.concatenate(rolled) if rolled else np.empty(0, np.uint64)
-        hit = _returned(said, _bucket(flat, bits), n, "hits", True).astype(bool)
-        keys = c.doc_keys()
-        self.copy = _returned(said, _bucket(mix64(keys[:, 0]), bits), n, "docs", False)
+    def __init__(self, c: _Chunk, number: int, hits: Replies, copies: Replies, bits: int):
+        w, b = c.window, c.block
+        _, blocks = c.blocks(False)
+        hit = hits.of(number, bucket(_joined(blocks), bits)).astype(bool)
+        self.copy = copies.of(number, bucket(mix64(c.doc_keys()["a"]), bits))
         self.windows, prints, at = [], [], 0
         for i, d in enumerate(c.long):
-            mine = hit[at : at + len(rolled[i])]
-            at += len(rolled[i])
+            mine = hit[at : at + len(blocks[i])]
+            at += len(mine)
             found = np.empty(0, np.int64)
             if self.copy[i] < 2 and mine.any():
                 total = c.counts[d] - w + 1
                 # the block that starts at or after s, and not beyond s + block - 1, lies within window s
-                own = (np.arange(total) + b - 1) // b
-                found = np.flatnonzero(mine[own])
+                found = np.flatnonzero(mine[(np.arange(total) + b - 1) // b])
             self.windows.append(found)
             if len(found):
-                prints.append(np.stack([c.rolling(d, w, 0)[found], c.rolling(d, w, 1)[found]], axis=1))
+                prints.append(np.stack([c.rolling(d, w)[found], c.rolling(d, w, True)[found]], axis=1))
         self.prints = np.concatenate(prints) if prints else np.empty((0, 2), np.uint64)
-        self.owner = np.repeat(np.arange(len(c.long)), [len(x) for x in self.windows])
 
     def distinct(self):
-        """Distinct fingerprints (bucketed order is ascending), the place of each window's, and how often each occurs."""
+        """Distinct fingerprints in ascending order, the place of each window's, and how often each occurs."""
         if not len(self.prints):
             return self.prints, np.empty(0, np.int64), np.empty(0, np.int64)
         order = np.lexsort((self.prints[:, 1], self.prints[:, 0]))
@@ -279,55 +203,46 @@ class _Candidates:
         return p[new], place, np.diff(np.append(np.flatnonzero(new), len(p)))
 
 
-_PRINTS = "bucket int, chunk long, prints binary, twice binary"
-_PRINT = np.dtype([("a", "<u8"), ("b", "<u4")])
-
-
 def _extend(bits: int, window: int):
     """Step 3, map side: fingerprints of the windows around anchors, by bucket."""
-    n = 1 << bits
 
     def run(chunks: pa.Table, said: pa.Table) -> pa.Table:
+        hits, copies = Replies(said, "flags", "sizes"), Replies(said, "doc_flags", "doc_sizes")
+        chunks, values, buckets = chunks.sort_by("chunk").combine_chunks(), [], []
+        packed_kind = np.dtype([*_PRINT.descr, ("twice", "u1")])
+        for row in range(len(chunks)):
+            c = _Chunk(chunks.column("blob")[row].as_buffer(), window)
+            prints, _, counts = _Candidates(c, chunks.column("chunk")[row].as_py(), hits, copies, bits).distinct()
+            packed = np.empty(len(prints), packed_kind)
+            packed["a"], packed["b"], packed["twice"] = prints[:, 0], prints[:, 1] & np.uint64(0xFFFFFFFF), counts > 1
+            values.append(packed)
+            buckets.append(bucket(prints[:, 0], bits))
+            del c
         rows = []
-        for row in chunks.select(["chunk", "blob"]).to_pylist():
-            c = _Chunk(row["blob"], window, True)
-            found = _Candidates(c, said.to_pylist(), bits)
-            prints, _, counts = found.distinct()
-            bounds = np.searchsorted(_bucket(prints[:, 0], bits), np.arange(n + 1))
-            packed = np.empty(len(prints), _PRINT)
-            packed["a"], packed["b"] = prints[:, 0], _residual(prints[:, 1])
-            for k in np.flatnonzero(np.diff(bounds)):
-                i, j = bounds[k], bounds[k + 1]
-                rows.append((int(k), row["chunk"], packed[i:j].tobytes(), np.packbits(counts[i:j] > 1).tobytes()))
+        for key, raw, sizes in Parts(values, buckets):
+            part = np.frombuffer(raw, packed_kind)
+            plain = np.empty(len(part), _PRINT)
+            plain["a"], plain["b"] = part["a"], part["b"]
+            rows.append((key, chunks.column("unit")[0].as_py(), plain.tobytes(), part["twice"].tobytes(), sizes))
         trim()
-        return pa.Table.from_batches(list(_rows(rows, _PRINTS)), schema=_schema(_PRINTS))
+        return units.as_table(rows, _PRINTS)
 
     return run
 
 
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
-
-
 def _confirm(group: pa.Table) -> pa.Table:
-    """Step 3, one bucket: which of each chunk's fingerprints start at another place too."""
-    rows = group.select(["bucket", "chunk", "prints", "twice"]).to_pylist()
-    prints = [np.frombuffer(r["prints"], _PRINT) for r in rows]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8))[: len(p)] for r, p in zip(rows, prints)]).astype(bool)
-    flat = np.concatenate(prints)
-    order = np.lexsort((flat["b"], flat["a"]))
-    s = flat[order]
+    """Step 3, one bucket: which of each unit's fingerprints start at another place too."""
+    group = group.combine_chunks()
+    prints, n = flat(group.column("prints"), _PRINT)
+    repeated = flat(group.column("twice"), np.uint8)[0].astype(bool)
+    order = np.lexsort((prints["b"], prints["a"]))
+    s = prints[order]
     same = (s["a"][1:] == s["a"][:-1]) & (s["b"][1:] == s["b"][:-1])
-    repeated = np.zeros(len(flat), bool)
     repeated[order[1:][same]] = True
     repeated[order[:-1][same]] = True
-    repeated |= twice
-    out, at = [], 0
-    for r, p in zip(rows, prints):
-        out.append((r["bucket"], r["chunk"], np.packbits(repeated[at : at + len(p)]).tobytes(), None))
-        at += len(p)
-    return pa.Table.from_batches(list(_rows(out, _BACK)))
+    flags, at = repeated.astype(np.uint8), np.cumsum(n) - n
+    rows = [(b, u, 0, flags[at[i] : at[i] + n[i]].tobytes(), sizes, None, None) for i, (b, u, sizes) in enumerate(zip(*[group.column(k).to_pylist() for k in ("bucket", "unit", "sizes")]))]
+    return units.as_table(rows, _BACK)
 
 
 def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -350,16 +265,20 @@ def _cut(raw: bytes, starts: np.ndarray, drop: np.ndarray) -> bytes:
 
 def _finish(bits: int, window: int, schema: pa.Schema, new_text: bool):
     def run(chunks: pa.Table, said: pa.Table) -> pa.Table:
-        said = said.to_pylist()
-        first, second = [r for r in said if r["docs"] is not None], [r for r in said if r["docs"] is None]
+        confirmed = pc.is_null(said.column("doc_flags")) if len(said) else pa.array([], pa.bool_())
+        second = said.filter(confirmed)
+        # a row of the first exchange has document flags, if only empty ones
+        said = said.filter(pc.invert(confirmed))
+        hits, copies, repeats = Replies(said, "flags", "sizes"), Replies(said, "doc_flags", "doc_sizes"), Replies(second, "flags", "sizes")
         parts = []
-        for row in chunks.select(["chunk", "blob"]).to_pylist():
-            c = _Chunk(row["blob"], window, True)
+        chunks = chunks.combine_chunks()
+        for row in range(len(chunks)):
+            c, number = _Chunk(chunks.column("blob")[row].as_buffer(), window), chunks.column("chunk")[row].as_py()
             t, drops = c.texts, {}
             if len(c.long):
-                found = _Candidates(c, first, bits)
+                found = _Candidates(c, number, hits, copies, bits)
                 prints, place, _ = found.distinct()
-                yes = _returned(second, _bucket(prints[:, 0], bits), 1 << bits, "hits", True).astype(bool)
+                yes = repeats.of(number, bucket(prints[:, 0], bits)).astype(bool)
                 at = 0
                 for i, d in enumerate(c.long):
                     here = found.windows[i]
@@ -398,9 +317,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, new_text: bool =
 
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    path = new_path(spark, "chunks")
-    docs.mapInArrow(_chunks(chunk_bytes), "chunk long, blob binary").write.option("compression", "uncompressed").parquet(path)
-    chunks = spark.read.schema("chunk long, blob binary").parquet(path)
+    chunks = units.stored(docs, chunk_bytes)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / WORD_BYTES / bucket_words)))))
 
@@ -409,7 +326,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, new_text: bool =
     sent.groupBy("bucket").applyInArrow(_anchors, _BACK).write.parquet(anchors_path)
     anchors = spark.read.schema(_BACK).parquet(anchors_path)
 
-    prints = chunks.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_extend(bits, window), _PRINTS)
+    prints = chunks.groupBy("unit").cogroup(anchors.groupBy("unit")).applyInArrow(_extend(bits, window), _PRINTS)
     confirmed = prints.groupBy("bucket").applyInArrow(_confirm, _BACK)
 
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -417,4 +334,4 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, new_text: bool =
         out = T.StructType([f for f in out.fields if f.name != "text"])
     said = anchors.unionByName(confirmed)
     finish = _finish(bits, window, to_arrow_schema(out), new_text)
-    return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(finish, out)
+    return chunks.groupBy("unit").cogroup(said.groupBy("unit")).applyInArrow(finish, out)
