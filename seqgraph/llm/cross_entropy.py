@@ -32,7 +32,9 @@ from .units import bucket, groups
 
 #: Prior weights of the vocabulary's uniform distribution (A) and of the words' distribution (B).
 A, B = 1000.0, 5.0
-BUCKET_KEYS = 4_000_000
+BUCKET_KEYS = 2_000_000
+#: A unit's tokens take about ten times its text in memory.
+CHUNK_BYTES = 1 << 20
 #: Bytes of text for each distinct n-gram of a unit, at least on average.
 KEY_BYTES = 8
 
@@ -68,7 +70,7 @@ class _Tokens:
         n = len(t)
         self.ids, self.sizes = ids, np.diff(t.first) + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.docs = np.repeat(np.arange(n), self.sizes)
+        self.docs = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.target = known & np.isin(ids.fill_null(0).to_numpy(), targets) if len(targets) else np.zeros(n, bool)
         token = np.empty(len(self.docs), np.uint64)
@@ -109,6 +111,8 @@ class _Unit:
         bounds = np.cumsum([0, *[len(p.keys) for p in self.parts]])
         #: for each chunk, the place of its keys among the unit's
         self.place = [places[i:j].astype(np.int32) for i, j in zip(bounds[:-1], bounds[1:])]
+        for p in self.parts:  # what the unit has summed
+            p.keys = p.words = p.all = p.of_target = None
 
 
 def _targets(table: pa.Table) -> np.ndarray:
@@ -167,13 +171,14 @@ def _scored(vocabulary: int):
         said = said.filter(pc.is_valid(said.column("target"))).sort_by("bucket").combine_chunks()
         u = _Unit(chunks, _targets(named))
         models = [np.concatenate([_counts(said.column(name)[i].as_buffer()) for i in range(len(said))]) for name in ("target", "background")]
+        del said
         out = []
         for p, place in zip(u.parts, u.place):
             m = len(p.docs)
             first = np.zeros(m, bool)
             first[p.starts] = True
             # how often each token's pair, word and context occur in its own document
-            both = np.concatenate([p.docs, p.docs]) * np.int64(len(p.keys)) + p.places
+            both = np.concatenate([p.docs, p.docs]).astype(np.int64) * len(place) + p.places
             _, inverse, often = np.unique(both, return_inverse=True, return_counts=True)
             often = often[inverse.ravel()]
             word, pair = place[p.places[:m]], place[p.places[m:]]
@@ -196,7 +201,7 @@ def _scored(vocabulary: int):
     return run
 
 
-def score(docs: DataFrame, target_ids: DataFrame, *, bucket_keys: int = BUCKET_KEYS, chunk_bytes: int = units.CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, *, bucket_keys: int = BUCKET_KEYS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score of each row of `docs`; `target_ids` has the target's doc_ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = units.stored(rows, chunk_bytes, ids="doc_id")
