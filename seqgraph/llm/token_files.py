@@ -24,6 +24,8 @@ from .common import Texts, new_path, shuffle_partitions, slices
 from .unit_coder import UnitCoder
 
 END_ID = 2
+#: With more files than this their offsets (16 bytes a file) are joined by a shuffle.
+MOST_FILES = 1_000_000
 OPTIONS = {
     "orc.compress": "ZSTD",
     "orc.stripe.size": str(64 << 20),
@@ -101,6 +103,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     # one row for each file: the running sum over them is the only ordered step
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    # one row a written file; files of a table are listed by the driver anyway, so their number has a bound there
+    shards = F.broadcast(shards) if len(stored.inputFiles()) <= MOST_FILES else shards
     return stored.join(shards, stored["shard"] == F.col("_shard")).select("doc_id", (F.col("local_start") + F.col("_base")).alias("start"), "tokens")
 
 
