@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 OUTCOMES = ("w", "d", "b")
 
 
-def number_steps(events: DataFrame, game: str, order: list[str], action: str, structure_actions: tuple[str, ...], last_actions: int = 0) -> DataFrame:
+def number_steps(events: DataFrame, game: str, order: list[str], action: str, structure_actions: tuple[str, ...], last_actions: int = 0, max_ply: int | None = None) -> DataFrame:
     """game_id, ply, action, state, next_state, structure, is_last from an event log.
 
     state is the multiset of the actions so far (sorted, joined by '|'), or with `last_actions` the last few in order.
-    Each game's rows share one shuffle and one sort.
+    Each game's rows share one shuffle and one sort. With `max_ply` the steps beyond it are dropped before any prefix is
+    made; without it a state of n actions is as long as they are (`last_actions` bounds it).
     """
+    if max_ply is not None:
+        at = Window.partitionBy(game).orderBy(*order)
+        events = events.withColumn("_ply", F.row_number().over(at)).withColumn("_last", F.lead(F.lit(1)).over(at).isNull()).where(F.col("_ply") <= max_ply)
     by_game = Window.partitionBy(game).orderBy(*order)
     past, upto = by_game.rowsBetween(Window.unboundedPreceding, -1), by_game.rowsBetween(Window.unboundedPreceding, 0)
     if last_actions:
@@ -31,19 +35,16 @@ def number_steps(events: DataFrame, game: str, order: list[str], action: str, st
     return events.select(
         F.col(game).alias("game_id"), (F.row_number().over(by_game) - 1).alias("ply"), F.col(action).alias("action"),
         text(past).alias("state"), text(upto).alias("next_state"), counted.alias("structure"), counted_after.alias("next_structure"),
-        F.lead(F.lit(1)).over(by_game).isNull().alias("is_last"),
+        (F.lead(F.lit(1)).over(by_game).isNull() if max_ply is None else F.col("_last")).alias("is_last"),
     )
 
 
-def visits(steps: DataFrame, max_ply: int | None) -> DataFrame:
-    """Every state a game stood in: one row a step, and one with a null action where the game ended by `max_ply` (None: no bound)."""
+def visits(steps: DataFrame) -> DataFrame:
+    """Every state a game stood in: one row a step, and one with a null action where the game ended."""
     here = F.struct("ply", "state", "structure", "action", "next_state")
     end = F.struct((F.col("ply") + 1).alias("ply"), F.col("next_state").alias("state"), F.col("next_structure").alias("structure"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("next_state"))
     rows = F.when(F.col("is_last"), F.array(here, end)).otherwise(F.array(here))
-    rows = steps.select("game_id", F.explode(rows).alias("v")).select("game_id", "v.*")
-    if max_ply is None:
-        return rows
-    return rows.where((F.col("ply") < max_ply) | ((F.col("ply") == max_ply) & F.col("action").isNull()))
+    return steps.select("game_id", F.explode(rows).alias("v")).select("game_id", "v.*")
 
 
 def first_visits(rows: DataFrame) -> DataFrame:

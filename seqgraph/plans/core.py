@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import graph, sequences as seq
+from ..sources import pgn
 from . import fixture as fx
-from .catalog import QUERIES, SQL, query, rounded
+from .catalog import query, rounded
 
 WDB = "count(*) FILTER (outcome = 0) AS w, count(*) FILTER (outcome = 1) AS d, count(*) FILTER (outcome = 2) AS b"
 WDB_S = "count(*) FILTER (outcome = 0 AND strong) AS w_s, count(*) FILTER (outcome = 1 AND strong) AS d_s, count(*) FILTER (outcome = 2 AND strong) AS b_s"
@@ -18,29 +17,29 @@ WDB_S = "count(*) FILTER (outcome = 0 AND strong) AS w_s, count(*) FILTER (outco
     count(*) FILTER (outcome = 2) AS b, round(count(*) / sum(count(*)) OVER (PARTITION BY state), 6) AS share,
     round((count(*) FILTER (outcome = 0) + count(*) FILTER (outcome = 1) / 2.0) / count(*), 6) AS ep
     FROM fv WHERE action IS NOT NULL GROUP BY state, action""")
-def move_table(spark, d, max_ply=fx.MAX_PLY):
-    return rounded(seq.move_table(fx.first_visits(spark, d, max_ply=max_ply)))
+def move_table(spark, d):
+    return rounded(seq.move_table(fx.first_visits(spark, d)))
 
 
 @query(fx.SQL + f" SELECT state, '' AS action, {WDB}, {WDB_S} FROM fv GROUP BY state UNION ALL SELECT state, action, {WDB}, {WDB_S} FROM fv WHERE action IS NOT NULL GROUP BY state, action")
-def position_totals(spark, d, max_ply=fx.MAX_PLY):
-    return seq.count_moves(fx.first_visits(spark, d, max_ply=max_ply))
+def position_totals(spark, d):
+    return seq.count_moves(fx.first_visits(spark, d))
 
 
 @query(fx.SQL + f" SELECT state, coalesce(action, '') AS action, {WDB} FROM fv GROUP BY ALL")
-def edges_complete(spark, d, max_ply=fx.MAX_PLY):
-    return seq.count_complete(fx.first_visits(spark, d, max_ply=max_ply))
+def edges_complete(spark, d):
+    return seq.count_complete(fx.first_visits(spark, d))
 
 
 @query(fx.SQL_CYCLIC + f" SELECT state, coalesce(action, '') AS action, {WDB} FROM fv GROUP BY ALL")
-def cyclic_first_visits(spark, d, max_ply=fx.MAX_PLY):
+def cyclic_first_visits(spark, d):
     """States that a game meets again count once, with the first action taken there."""
-    return seq.count_complete(fx.first_visits(spark, d, 2, max_ply))
+    return seq.count_complete(fx.first_visits(spark, d, 2))
 
 
 @query(fx.SQL + " SELECT state, count(*) AS games, count(*) FILTER (action IS NULL) AS ended, round(count(*) FILTER (action IS NULL) / count(*), 6) AS ended_share FROM fv GROUP BY state HAVING count(*) FILTER (action IS NULL) > 0")
-def terminal_rows(spark, d, max_ply=fx.MAX_PLY):
-    rows = fx.first_visits(spark, d, max_ply=max_ply).groupBy("state").agg(F.count(F.lit(1)).alias("games"), F.sum(F.col("action").isNull().cast("long")).alias("ended")).where("ended > 0")
+def terminal_rows(spark, d):
+    rows = fx.first_visits(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("games"), F.sum(F.col("action").isNull().cast("long")).alias("ended")).where("ended > 0")
     return rounded(rows.withColumn("ended_share", F.col("ended") / F.col("games")))
 
 
@@ -54,21 +53,19 @@ def exclusions(spark, d):
     return seq.exclusion_reasons(rows, checks).groupBy("reason").agg(F.count(F.lit(1)).alias("games"))
 
 
-@query("""SELECT coalesce(least(TRY_CAST(split_part(c_name, '#', 2) AS INTEGER), TRY_CAST(c_acctbal AS INTEGER)) >= 200, false) AS strong, o_orderstatus, count(*) AS games
-    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
+@query("""SELECT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) >= 200 ELSE false END AS strong, o_orderstatus, count(*) AS games FROM (SELECT o_orderstatus,
+    TRY_CAST(CASE WHEN c_custkey % 7 <> 0 THEN split_part(c_name, '#', 2) ELSE '?' END AS INTEGER) AS a, CAST(floor(c_acctbal) AS INTEGER) AS b FROM orders JOIN customer ON c_custkey = o_custkey) GROUP BY ALL""")
 def strong_flag(spark, d):
-    """The lesser of two ratings; what can't be read isn't strong."""
+    """The lesser of two ratings; if either can't be read, the game isn't strong."""
     rows = fx.table(spark, d, "orders").join(fx.table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    number = F.split_part(F.col("c_name"), F.lit("#"), F.lit(2)).try_cast("int")
-    balance = F.round("c_acctbal").try_cast("int")
-    both = F.when(number.isNotNull() & balance.isNotNull(), F.least(number, balance))
-    # least() skips nulls in both engines; a missing number leaves the other to decide
-    return rows.select(F.coalesce(F.coalesce(both, number, balance) >= 200, F.lit(False)).alias("strong"), "o_orderstatus").groupBy("strong", "o_orderstatus").agg(F.count(F.lit(1)).alias("games"))
+    written = F.when(F.col("c_custkey") % 7 != 0, F.split_part(F.col("c_name"), F.lit("#"), F.lit(2))).otherwise("?")
+    strong = pgn.both_at_least(written.try_cast("int"), F.floor("c_acctbal").cast("int"), 200)
+    return rows.select(strong.alias("strong"), "o_orderstatus").groupBy("strong", "o_orderstatus").agg(F.count(F.lit(1)).alias("games"))
 
 
 @query(fx.SQL + f" SELECT state, '' AS action, {WDB}, {WDB_S} FROM fv GROUP BY state HAVING count(*) >= 20 UNION ALL SELECT state, action, {WDB}, {WDB_S} FROM fv WHERE action IS NOT NULL AND state IN (SELECT state FROM fv GROUP BY state HAVING count(*) >= 20) GROUP BY state, action")
-def frequent_states(spark, d, max_ply=fx.MAX_PLY):
-    return seq.frequent_states(fx.first_visits(spark, d, max_ply=max_ply), 20)
+def frequent_states(spark, d):
+    return seq.frequent_states(fx.first_visits(spark, d), 20)
 
 
 CLOSED = """, strong_edges AS (SELECT DISTINCT parent, child FROM edges WHERE source = 'all' AND games >= 10),
@@ -93,25 +90,25 @@ def links(spark, d):
 
 
 @query(fx.SQL + " SELECT source, parent, action, child, games, w, d, b FROM edges")
-def provenance(spark, d, max_ply=fx.MAX_PLY):
-    return fx.edges(spark, d, max_ply=max_ply)
+def provenance(spark, d):
+    return fx.edges(spark, d)
 
 
 @query(fx.SQL + " SELECT source, child AS state, count(DISTINCT parent) FILTER (c_ply > p_ply) AS parents_in, count(DISTINCT parent) AS parents_all FROM shares WHERE c_ply IS NOT NULL GROUP BY ALL")
-def parents(spark, d, max_ply=fx.MAX_PLY):
-    first = fx.first_visits(spark, d, max_ply=max_ply)
+def parents(spark, d):
+    first = fx.first_visits(spark, d)
     return graph.parents(seq.edges(first), seq.nodes(first))
 
 
 @query(fx.SQL_CYCLIC + " SELECT source, child AS state, count(DISTINCT parent) FILTER (c_ply > p_ply) AS parents_in, count(DISTINCT parent) AS parents_all FROM shares WHERE c_ply IS NOT NULL GROUP BY ALL")
-def parents_cyclic(spark, d, max_ply=fx.MAX_PLY):
-    first = fx.first_visits(spark, d, 2, max_ply)
+def parents_cyclic(spark, d):
+    first = fx.first_visits(spark, d, 2)
     return graph.parents(seq.edges(first), seq.nodes(first))
 
 
 @query(fx.SQL + " SELECT state, min_ply, role, structure, is_entry FROM nodes")
-def nodes(spark, d, max_ply=fx.MAX_PLY):
-    return seq.nodes(fx.first_visits(spark, d, max_ply=max_ply))
+def nodes(spark, d):
+    return seq.nodes(fx.first_visits(spark, d))
 
 
 COVER = """, per AS (SELECT source, state, count(*) AS games, count(*) FILTER (action IS NULL) AS ended FROM fvs GROUP BY ALL)
@@ -120,9 +117,9 @@ COVER = """, per AS (SELECT source, state, count(*) AS games, count(*) FILTER (a
 
 
 @query(fx.SQL + COVER)
-def position_source_coverage(spark, d, max_ply=fx.MAX_PLY):
+def position_source_coverage(spark, d):
     """Every source at every state: what isn't known is null, never zero."""
-    first = fx.first_visits(spark, d, max_ply=max_ply)
+    first = fx.first_visits(spark, d)
     per = seq.position_source(first)
     names = spark.sql("SELECT explode(array('all', 'expert', 'population')) AS source")
     rows = seq.nodes(first).select("state").crossJoin(F.broadcast(names)).join(per, ["source", "state"], "left")  # three source names
@@ -135,11 +132,11 @@ def position_source_coverage(spark, d, max_ply=fx.MAX_PLY):
     SELECT a.state, a.action, a.games AS all_games, CASE WHEN k.state IS NOT NULL THEN coalesce(e.games, 0) END AS expert_games,
     round(a.games / sum(a.games) OVER (PARTITION BY a.state), 6) >= 0.2 AS major
     FROM a LEFT JOIN e USING (state, action) LEFT JOIN known k ON k.state = a.state""")
-def overlay(spark, d, max_ply=fx.MAX_PLY):
+def overlay(spark, d):
     """Moves of one source with another laid over: null where the other doesn't know the state, 0 where it knows but never plays it."""
-    rows = fx.edges(spark, d, max_ply=max_ply)
+    rows = fx.edges(spark, d)
     pick = lambda s, name: rows.where(F.col("source") == s).select(F.col("parent").alias("state"), "action", F.col("games").alias(name))
-    known = seq.by_source(fx.first_visits(spark, d, max_ply=max_ply)).where("source = 'expert'").select("state").distinct().withColumn("known", F.lit(True))
+    known = seq.by_source(fx.first_visits(spark, d)).where("source = 'expert'").select("state").distinct().withColumn("known", F.lit(True))
     out = pick("all", "all_games").join(pick("expert", "e"), ["state", "action"], "left").join(known, "state", "left")
     from pyspark.sql import Window
 
@@ -151,9 +148,9 @@ def overlay(spark, d, max_ply=fx.MAX_PLY):
     SELECT coalesce(a.state, f.state) AS state, coalesce(a.action, f.action) AS action, a.games AS new_games, f.games AS old_games,
     CASE WHEN f.state IS NULL THEN 'new_only' WHEN a.state IS NULL THEN 'missing' WHEN a.games < f.games THEN 'violation' ELSE 'ok' END AS status
     FROM a FULL JOIN f USING (state, action)""")
-def crosscheck(spark, d, max_ply=fx.MAX_PLY):
+def crosscheck(spark, d):
     """Two indexes reconciled: the larger may not count less than the smaller."""
-    rows = fx.edges(spark, d, max_ply=max_ply)
+    rows = fx.edges(spark, d)
     a = rows.where("source = 'all'").select(F.col("parent").alias("state"), "action", F.col("games").alias("new_games"))
     f = rows.where("source = 'expert' AND games >= 3").select(F.col("parent").alias("state"), "action", F.col("games").alias("old_games"))
     status = F.when(F.col("old_games").isNull(), "new_only").when(F.col("new_games").isNull(), "missing").when(F.col("new_games") < F.col("old_games"), "violation").otherwise("ok")
@@ -162,9 +159,9 @@ def crosscheck(spark, d, max_ply=fx.MAX_PLY):
 
 @query(fx.SQL + """ SELECT n.state, n.min_ply FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM fvs f WHERE f.source = 'expert' AND f.state = n.state)
     AND EXISTS (SELECT 1 FROM edges e WHERE e.source = 'population' AND e.parent = n.state)""")
-def enrichment_queue(spark, d, max_ply=fx.MAX_PLY):
+def enrichment_queue(spark, d):
     """States the experts don't know and the population continues from: anti and semi joins."""
-    first = fx.first_visits(spark, d, max_ply=max_ply)
+    first = fx.first_visits(spark, d)
     known = seq.by_source(first).where("source = 'expert'").select("state")
     asked = seq.edges(first).where("source = 'population'").select(F.col("parent").alias("state"))
     return seq.nodes(first).select("state", "min_ply").join(known, "state", "left_anti").join(asked, "state", "left_semi")
@@ -172,9 +169,9 @@ def enrichment_queue(spark, d, max_ply=fx.MAX_PLY):
 
 @query(fx.SQL + """ SELECT e.child AS state, min(n.min_ply + 1) AS depth FROM edges e JOIN nodes n ON n.state = e.parent
     WHERE e.child NOT IN (SELECT state FROM nodes) GROUP BY e.child""")
-def crawl_frontier(spark, d, max_ply=fx.MAX_PLY):
+def crawl_frontier(spark, d):
     """Targets that no snapshot exists for, with their least depth."""
-    first = fx.first_visits(spark, d, max_ply=max_ply)
+    first = fx.first_visits(spark, d)
     known = seq.nodes(first)
     rows = seq.edges(first).join(known, F.col("parent") == F.col("state")).select("child", (F.col("min_ply") + 1).alias("depth"))
     return rows.join(known.select(F.col("state").alias("child")), "child", "left_anti").groupBy(F.col("child").alias("state")).agg(F.min("depth").alias("depth"))
@@ -197,8 +194,8 @@ def star_join(spark, d):
 @query(fx.SQL + """, a AS (SELECT DISTINCT state FROM fvs WHERE source = 'expert'), b AS (SELECT DISTINCT state FROM fvs WHERE source = 'population')
     SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'expert_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT 'population_only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
-def universes(spark, d, max_ply=fx.MAX_PLY):
-    rows = seq.by_source(fx.first_visits(spark, d, max_ply=max_ply))
+def universes(spark, d):
+    rows = seq.by_source(fx.first_visits(spark, d))
     a, b = (rows.where(F.col("source") == s).select("state").distinct() for s in ("expert", "population"))
     parts = (("both", a.intersect(b)), ("expert_only", a.exceptAll(b)), ("population_only", b.exceptAll(a)), ("either", a.union(b).distinct()))
     out = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, x in parts]
@@ -210,18 +207,7 @@ def universes(spark, d, max_ply=fx.MAX_PLY):
     FROM (SELECT *, year(o_orderdate) AS year FROM orders) JOIN customer ON c_custkey = o_custkey GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (year), ())""".replace("year(o_orderdate) AS year, count(*) AS n", "year, count(*) AS n", 1))
 def header_audit(spark, d):
     """Counts by priority, status and year with four rating bounds, in one scan."""
-    fx.table(spark, d, "orders").createOrReplaceTempView("seqgraph_orders")
-    fx.table(spark, d, "customer").createOrReplaceTempView("seqgraph_customer")
-    return spark.sql("""
-        SELECT o_orderpriority, o_orderstatus, CAST(year AS BIGINT) AS year, count(*) AS n, count_if(c_acctbal >= 0) AS r0, count_if(c_acctbal >= 2500) AS r1,
-               count_if(c_acctbal >= 5000) AS r2, count_if(c_acctbal >= 7500) AS r3, grouping_id(o_orderpriority, o_orderstatus, year) AS level
-        FROM (SELECT *, year(o_orderdate) AS year FROM seqgraph_orders) JOIN seqgraph_customer ON c_custkey = o_custkey
-        GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (year), ())""")
-
-
-#: The queries above that need no paths, again over whole games: the bounded ones check them against the bounded SQL.
-WHOLE = (move_table, position_totals, edges_complete, cyclic_first_visits, terminal_rows, frequent_states, provenance, parents,
-         parents_cyclic, nodes, position_source_coverage, overlay, crosscheck, enrichment_queue, crawl_frontier, universes)
-for _f in WHOLE:
-    QUERIES[f"{_f.__name__}_all"] = partial(_f, max_ply=None)
-    SQL[f"{_f.__name__}_all"] = fx.whole_games(SQL[_f.__name__])
+    rows = fx.table(spark, d, "orders").join(fx.table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).withColumn("year", F.year("o_orderdate").cast("long"))
+    keys = ["o_orderpriority", "o_orderstatus", "year"]
+    found = rows.groupingSets([[k] for k in keys] + [[]], *keys)
+    return found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("c_acctbal") >= b).alias(f"r{i}") for i, b in enumerate((0, 2500, 5000, 7500))], F.grouping_id(*keys).alias("level"))

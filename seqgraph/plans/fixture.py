@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import sequences as seq
 
-MAX_PLY = 6
 STRUCTURE = ("purchase", "signup")
 #: An action needs so many games to be evaluated.
 EVAL_GAMES = 5
@@ -28,15 +27,15 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("game_id", F.pmod("_c", F.lit(3)).cast("int").alias("outcome"), (F.pmod("_u", F.lit(3)) == 0).alias("strong"), F.date_format("_t", "yyyyMMdd").cast("int").alias("day_ord"))
 
 
-def first_visits(spark: SparkSession, sf_dir: str, last_actions: int = 0, max_ply: int | None = MAX_PLY) -> DataFrame:
-    """game_id, ply, state, structure, action, next_state, outcome, strong: each game once at each state; whole games if `max_ply` is None."""
+def first_visits(spark: SparkSession, sf_dir: str, last_actions: int = 0) -> DataFrame:
+    """game_id, ply, state, structure, action, next_state, outcome, strong: each game once at each state, over whole games."""
     steps = seq.number_steps(events(spark, sf_dir), "game", ["ts", "event_id"], "event_type", STRUCTURE, last_actions)
-    first = seq.first_visits(seq.visits(steps, max_ply))
+    first = seq.first_visits(seq.visits(steps))
     return first.join(games(spark, sf_dir), "game_id")
 
 
-def edges(spark: SparkSession, sf_dir: str, last_actions: int = 0, max_ply: int | None = MAX_PLY) -> DataFrame:
-    return seq.edges(first_visits(spark, sf_dir, last_actions, max_ply))
+def edges(spark: SparkSession, sf_dir: str, last_actions: int = 0) -> DataFrame:
+    return seq.edges(first_visits(spark, sf_dir, last_actions))
 
 
 def evals(edge_rows: DataFrame) -> DataFrame:
@@ -65,8 +64,8 @@ steps AS (SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY ts, e
          coalesce(array_to_string({past}, '|'), '') AS state, array_to_string({upto}, '|') AS next_state,
          {structure('1 PRECEDING')} AS structure, {structure('CURRENT ROW')} AS next_structure,
          lead(1) OVER (PARTITION BY game_id ORDER BY ts, event_id) IS NULL AS is_last FROM ev),
-visits AS (SELECT game_id, ply, state, structure, action, next_state FROM steps WHERE ply < {MAX_PLY}
-         UNION ALL SELECT game_id, ply + 1, next_state, next_structure, NULL, NULL FROM steps WHERE is_last AND ply + 1 <= {MAX_PLY}),
+visits AS (SELECT game_id, ply, state, structure, action, next_state FROM steps
+         UNION ALL SELECT game_id, ply + 1, next_state, next_structure, NULL, NULL FROM steps WHERE is_last),
 fv AS (SELECT v.* EXCLUDE (n), outcome, strong FROM (SELECT *, row_number() OVER (PARTITION BY game_id, state ORDER BY ply) AS n FROM visits) v
          JOIN games USING (game_id) WHERE n = 1),
 fvs AS (SELECT *, 'all' AS source FROM fv UNION ALL SELECT *, CASE WHEN strong THEN 'expert' ELSE 'population' END FROM fv),
@@ -80,21 +79,20 @@ evals AS (SELECT parent AS state, action, (sum(w) + sum(d) / 2.0) / sum(games) A
 shares AS (SELECT e.*, e.games / sum(e.games) OVER (PARTITION BY e.source, e.parent) AS share, p.min_ply AS p_ply, c.min_ply AS c_ply,
          p.structure AS p_structure, c.structure AS c_structure, p.is_entry
          FROM edges e JOIN nodes p ON p.state = e.parent LEFT JOIN nodes c ON c.state = e.child),
-paths AS (SELECT DISTINCT source, '' AS state, 1.0::DOUBLE AS m, 0 AS ply, '' AS line, 0.0::DOUBLE AS logp FROM edges
-         UNION ALL SELECT s.source, s.child, p.m * s.share, s.c_ply, trim(p.line || ' ' || s.action), p.logp + ln(s.share)
-         FROM paths p JOIN shares s ON s.source = p.source AND s.parent = p.state AND s.c_ply > s.p_ply),
-reach AS (SELECT source, state, sum(m) AS reach, count(*) AS paths FROM paths GROUP BY source, state)"""
+paths AS (SELECT DISTINCT source, '' AS state, 1.0::DOUBLE AS m, 1::HUGEINT AS n FROM edges
+         UNION ALL SELECT s.source, s.child, sum(p.m * s.share), sum(p.n)
+         FROM paths p JOIN shares s ON s.source = p.source AND s.parent = p.state AND s.c_ply > s.p_ply GROUP BY s.source, s.child),
+reach AS (SELECT source, state, sum(m) AS reach, CAST(sum(n) AS BIGINT) AS paths FROM paths GROUP BY source, state),
+enter AS (SELECT source, state, sum(m) AS enter FROM (SELECT r.source, r.state, r.reach AS m FROM reach r JOIN nodes USING (state) WHERE is_entry
+         UNION ALL SELECT s.source, s.child, r.reach * s.share FROM reach r JOIN shares s ON s.source = r.source AND s.parent = r.state
+         WHERE s.c_ply > s.p_ply AND s.c_structure <> s.p_structure) GROUP BY source, state)"""
 
 
 #: Common table expressions of the multiset-state binding, and of the one whose states are the last two actions.
 SQL = "WITH RECURSIVE " + _sql(0).strip()
 SQL_CYCLIC = "WITH RECURSIVE " + _sql(2).strip()
 
-
-def whole_games(sql: str) -> str:
-    """A query's SQL without the bound on plies."""
-    for bound in (f" WHERE ply < {MAX_PLY}", f" AND ply + 1 <= {MAX_PLY}"):
-        if sql.count(bound) != 1:
-            raise ValueError(f"not one{bound}")
-        sql = sql.replace(bound, "")
-    return sql
+#: The most likely line to each state, level by level (all plies of a level are done when it is extended).
+LINES = """, lines AS (SELECT DISTINCT source, '' AS state, {'cost': 0.0::DOUBLE, 'line': '', 'logp': 0.0::DOUBLE} AS best FROM edges
+         UNION ALL SELECT s.source, s.child, min({'cost': round(-(p.best.logp + ln(s.share)), 9), 'line': trim(p.best.line || ' ' || s.action), 'logp': p.best.logp + ln(s.share)})
+         FROM lines p JOIN shares s ON s.source = p.source AND s.parent = p.state AND s.c_ply > s.p_ply GROUP BY s.source, s.child)"""

@@ -17,58 +17,56 @@ def _graph(spark, d, last_actions=0):
     return graph.cut(seq.edges(first)), graph.cut(seq.nodes(first))
 
 
-FLOW = """ SELECT r.source, r.state, round(r.reach, 6) AS reach, r.paths,
+FLOW = """ SELECT r.source, r.state, round(r.reach, 6) AS reach, round(coalesce(e.enter, 0), 6) AS enter, r.paths,
     round(coalesce((SELECT sum(share) FROM shares s WHERE s.source = r.source AND s.parent = r.state AND s.c_ply IS NULL), 0), 6) AS leakage,
     round(coalesce((SELECT sum(s.share * q.reach) FROM shares s JOIN reach q ON q.source = s.source AND q.state = s.parent
-        WHERE s.source = r.source AND s.child = r.state AND s.c_ply <= s.p_ply), 0), 6) AS ignored_back_mass FROM reach r"""
+        WHERE s.source = r.source AND s.child = r.state AND s.c_ply <= s.p_ply), 0), 6) AS ignored_back_mass FROM reach r LEFT JOIN enter e ON e.source = r.source AND e.state = r.state"""
 
 
 @query(fx.SQL + FLOW)
 def flow(spark, d):
     edges, nodes = _graph(spark, d)
-    return rounded(graph.flow(edges, nodes, fx.MAX_PLY))
+    return rounded(graph.flow(edges, nodes))
 
 
 @query(fx.SQL_CYCLIC + FLOW)
 def flow_cyclic(spark, d):
     edges, nodes = _graph(spark, d, 2)
-    return rounded(graph.flow(edges, nodes, fx.MAX_PLY))
+    return rounded(graph.flow(edges, nodes))
 
 
-@query(fx.SQL + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY source, state ORDER BY round(-logp, 9), line) AS n FROM paths)
-    SELECT source, state, round(logp, 6) AS logp, line FROM ranked WHERE n = 1""")
+@query(fx.SQL + fx.LINES + " SELECT source, state, round(best.logp, 6) AS logp, best.line AS line FROM lines")
 def viterbi_lines(spark, d):
     edges, nodes = _graph(spark, d)
-    return rounded(graph.best_lines(edges, nodes, fx.MAX_PLY))
+    return rounded(graph.best_lines(edges, nodes))
 
 
-@query(fx.SQL + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY source, state ORDER BY round(-logp, 9), line) AS n FROM paths WHERE source = 'all'),
-    nodes_m AS (SELECT e.parent AS state, sum(e.games) AS games FROM edges e WHERE source = 'all' GROUP BY ALL)
-    SELECT line, CAST(sum(games) AS BIGINT) AS mass FROM ranked JOIN nodes_m USING (state) WHERE n = 1 GROUP BY line""")
+@query(fx.SQL + fx.LINES + """, nodes_m AS (SELECT e.parent AS state, sum(e.games) AS games FROM edges e WHERE source = 'all' GROUP BY ALL)
+    SELECT best.line AS line, CAST(sum(games) AS BIGINT) AS mass FROM lines JOIN nodes_m USING (state) WHERE source = 'all' GROUP BY 1""")
 def development_orders(spark, d):
     """Games by the most likely line that leads to their state."""
     edges, nodes = _graph(spark, d)
-    best = graph.best_lines(edges.where("source = 'all'"), nodes, fx.MAX_PLY)
+    best = graph.best_lines(edges.where("source = 'all'"), nodes)
     mass = edges.where("source = 'all'").groupBy(F.col("parent").alias("state")).agg(F.sum("games").alias("games"))
     return best.join(mass, "state").groupBy("line").agg(F.sum("games").alias("mass"))
 
 
 STRUCTURES = """, target AS (SELECT state FROM nodes WHERE structure = '1,1'),
-    walk AS (SELECT DISTINCT source, '' AS state, 1.0::DOUBLE AS m FROM edges UNION ALL SELECT s.source, s.child, w.m * s.share FROM walk w
-        JOIN shares s ON s.source = w.source AND s.parent = w.state AND s.c_ply > s.p_ply WHERE w.state NOT IN (SELECT state FROM target))"""
+    walk AS (SELECT DISTINCT source, '' AS state, 1.0::DOUBLE AS m FROM edges UNION ALL SELECT s.source, s.child, sum(w.m * s.share) FROM walk w
+        JOIN shares s ON s.source = w.source AND s.parent = w.state AND s.c_ply > s.p_ply WHERE w.state NOT IN (SELECT state FROM target) GROUP BY s.source, s.child)"""
 
 
 @query(fx.SQL + STRUCTURES + " SELECT source, state, round(sum(m), 6) AS reach FROM walk WHERE state IN (SELECT state FROM target) GROUP BY ALL")
 def union_coverage(spark, d):
     edges, nodes = _graph(spark, d)
-    return rounded(graph.union_coverage(edges, nodes, nodes.where("structure = '1,1'"), fx.MAX_PLY))
+    return rounded(graph.union_coverage(edges, nodes, nodes.where("structure = '1,1'")))
 
 
 @query(fx.SQL + STRUCTURES + " SELECT source, round(sum(m), 6) AS coverage FROM walk WHERE state IN (SELECT state FROM target) GROUP BY source")
 def set_coverage(spark, d):
     """The absorbing coverage of a set of structures: mass is caught where it first enters the set."""
     edges, nodes = _graph(spark, d)
-    caught = graph.union_coverage(edges, nodes, nodes.where("structure = '1,1'"), fx.MAX_PLY)
+    caught = graph.union_coverage(edges, nodes, nodes.where("structure = '1,1'"))
     return rounded(caught.groupBy("source").agg(F.sum("reach").alias("coverage")))
 
 
@@ -101,36 +99,45 @@ def horizon_structures(spark, d):
     return rounded(graph.horizon(edges, nodes, "all", 3))
 
 
-DWELL = """, entering AS (SELECT source, c_structure AS structure, child AS state, sum(games)::DOUBLE AS m FROM shares WHERE c_structure IS NOT NULL AND c_structure <> p_structure GROUP BY ALL
-        UNION ALL SELECT source, p_structure, parent, sum(games)::DOUBLE FROM shares WHERE is_entry GROUP BY ALL),
-    spread AS (SELECT source, structure, state, sum(m) / sum(sum(m)) OVER (PARTITION BY source, structure) AS m FROM entering GROUP BY source, structure, state),
-    inside AS (SELECT source, structure, state, m, 0 AS step FROM spread UNION ALL SELECT i.source, i.structure, s.child, i.m * s.share, i.step + 1 FROM inside i
-        JOIN shares s ON s.source = i.source AND s.parent = i.state AND s.c_structure = i.structure WHERE i.step < 4),
-    curve AS (SELECT source, structure, step, sum(m) AS inside FROM inside GROUP BY ALL)"""
+DWELL = """, spread AS (SELECT source, structure, state, enter / sum(enter) OVER (PARTITION BY source, structure) AS m FROM enter JOIN nodes USING (state) WHERE enter > 0),
+    inside AS (SELECT source, structure, state, m, 0 AS step FROM spread UNION ALL SELECT i.source, i.structure, s.child, sum(i.m * s.share), i.step + 1 FROM inside i
+        JOIN shares s ON s.source = i.source AND s.parent = i.state AND s.c_structure = i.structure WHERE i.step < 20 GROUP BY i.source, i.structure, s.child, i.step),
+    curve AS (SELECT source, structure, step, sum(m) AS inside FROM inside GROUP BY ALL),
+    gone AS (SELECT *, CASE WHEN step < 20 THEN inside - coalesce(lead(inside) OVER (PARTITION BY source, structure ORDER BY step), 0) ELSE 0 END AS left_ FROM curve),
+    dw AS (SELECT source, structure, sum((step + 1) * left_) / sum(left_) AS mean_dwell, sum(left_) FILTER (step < 1) / sum(left_) AS exit1, sum(left_) FILTER (step < 2) / sum(left_) AS exit2,
+        coalesce(max(inside) FILTER (step = 3), 0) AS retention3 FROM gone GROUP BY source, structure),
+    half AS (SELECT source, structure, min(step) + 1 AS median_dwell FROM (SELECT *, sum(left_) OVER (PARTITION BY source, structure ORDER BY step) / sum(left_) OVER (PARTITION BY source, structure) AS upto FROM gone)
+        WHERE round(upto, 9) >= 0.5 GROUP BY ALL)"""
+
+
+def _dwell(spark, d):
+    edges, nodes = _graph(spark, d)
+    return graph.dwell(edges, nodes, graph.cut(graph.flow(edges, nodes)))
 
 
 @query(fx.SQL + DWELL + " SELECT source, structure, CAST(step AS INTEGER) AS step, round(inside, 6) AS inside FROM curve")
 def dwell_curve(spark, d):
-    edges, nodes = _graph(spark, d)
-    return rounded(graph.dwell(edges, nodes, 4))
+    return rounded(_dwell(spark, d))
 
 
-@query(fx.SQL + DWELL + """ SELECT source, structure, round(sum(inside), 6) AS mean_dwell, round(1 - coalesce(max(inside) FILTER (step = 1), 0), 6) AS exit1,
-    round(coalesce(max(inside) FILTER (step = 3), 0), 6) AS retention3,
-    CASE WHEN round(sum(inside), 6) < 2 OR round(coalesce(max(inside) FILTER (step = 3), 0), 6) < 0.25 THEN 'transit' WHEN round(sum(inside), 6) >= 3 AND round(coalesce(max(inside) FILTER (step = 3), 0), 6) >= 0.5
-    THEN 'strategic_attractor' ELSE 'intermediate' END AS class FROM curve GROUP BY source, structure""")
+@query(fx.SQL + DWELL + """ SELECT source, structure, round(mean_dwell, 6) AS mean_dwell, CAST(median_dwell AS INTEGER) AS median_dwell, round(exit1, 6) AS exit1, round(exit2, 6) AS exit2, round(retention3, 6) AS retention3,
+    CASE WHEN round(mean_dwell, 6) < 2 OR round(retention3, 6) < 0.25 THEN 'transit' WHEN round(mean_dwell, 6) >= 3 AND round(retention3, 6) >= 0.5 THEN 'strategic_attractor' ELSE 'intermediate' END AS class
+    FROM dw JOIN half USING (source, structure)""")
 def dwell_classes(spark, d):
-    edges, nodes = _graph(spark, d)
-    at = lambda k: F.coalesce(F.max(F.when(F.col("step") == k, F.col("inside"))), F.lit(0.0))
-    rows = rounded(graph.dwell(edges, nodes, 4).groupBy("source", "structure").agg(F.sum("inside").alias("mean_dwell"), (1 - at(1)).alias("exit1"), at(3).alias("retention3")))
-    return rows.withColumn("class", v.structure_class(F.col("mean_dwell"), F.col("retention3")))
+    rows = rounded(graph.dwell_stats(_dwell(spark, d)))
+    rows = rows.withColumn("class", v.structure_class(F.col("mean_dwell"), F.col("retention_3")))
+    return rows.withColumnsRenamed({"exit_first_ply": "exit1", "exit_within_two": "exit2", "retention_3": "retention3"})
 
 
-@query(fx.SQL + """ SELECT s.source, s.p_structure AS structure, s.c_structure AS next_structure, s.action, round(sum(r.reach * s.share), 6) AS mass
-    FROM shares s JOIN reach r ON r.source = s.source AND r.state = s.parent WHERE s.c_structure IS NULL OR s.c_structure <> s.p_structure GROUP BY ALL""")
+@query(fx.SQL + """, push AS (SELECT source, structure, state, enter AS m, 0 AS step FROM enter JOIN nodes USING (state) WHERE enter > 0 UNION ALL SELECT p.source, p.structure, s.child, sum(p.m * s.share), p.step + 1 FROM push p
+        JOIN shares s ON s.source = p.source AND s.parent = p.state AND s.c_structure = p.structure WHERE p.step < 40 GROUP BY p.source, p.structure, s.child, p.step),
+    gone AS (SELECT p.source, p.structure, s.c_structure AS next_structure, s.action, p.m * s.share AS m, s.p_ply AS ply FROM push p JOIN shares s ON s.source = p.source AND s.parent = p.state
+        WHERE s.c_structure IS NULL OR s.c_structure <> p.structure UNION ALL SELECT p.source, p.structure, NULL, NULL, p.m, n.min_ply FROM push p JOIN nodes n ON n.state = p.state
+        WHERE NOT EXISTS (SELECT 1 FROM shares s WHERE s.source = p.source AND s.parent = p.state))
+    SELECT source, structure, next_structure, action, round(sum(m), 6) AS mass, round(sum(m * ply) / sum(m), 6) AS exit_ply FROM gone GROUP BY ALL""")
 def transition_edges(spark, d):
     edges, nodes = _graph(spark, d)
-    return rounded(graph.structure_edges(edges, nodes, graph.flow(edges, nodes, fx.MAX_PLY)))
+    return rounded(graph.structure_edges(edges, nodes, graph.cut(graph.flow(edges, nodes))))
 
 
 STATS = """, st AS (SELECT source, structure, count(*) AS states, sum(reach) AS mass, max(reach) AS peak, CAST(sum(paths) AS BIGINT) AS paths, min(min_ply) AS first_ply,
@@ -139,7 +146,7 @@ STATS = """, st AS (SELECT source, structure, count(*) AS states, sum(reach) AS
 
 def _structure_stats(spark, d):
     edges, nodes = _graph(spark, d)
-    rows = graph.flow(edges, nodes, fx.MAX_PLY).join(nodes, "state")
+    rows = graph.flow(edges, nodes).join(nodes, "state")
     return rows.groupBy("source", "structure").agg(F.count(F.lit(1)).alias("states"), F.sum("reach").alias("mass"), F.max("reach").alias("peak"), F.sum("paths").alias("paths"), F.min("min_ply").alias("first_ply"), (F.sum(F.col("reach") * F.col("min_ply")) / F.sum("reach")).alias("mean_ply"))
 
 
@@ -156,12 +163,12 @@ def maturity_zscores(spark, d):
 
 
 @query(fx.SQL + """, walked AS (SELECT p.source, n.structure, p.m * s.share AS m, s.action, CASE WHEN s.p_ply < 2 THEN 'early' WHEN s.p_ply < 4 THEN 'middle' ELSE 'late' END AS stage
-    FROM (SELECT source, state, sum(m) AS m FROM paths GROUP BY ALL) p JOIN shares s ON s.source = p.source AND s.parent = p.state JOIN nodes n ON n.state = p.state)
+    FROM (SELECT source, state, reach AS m FROM reach) p JOIN shares s ON s.source = p.source AND s.parent = p.state JOIN nodes n ON n.state = p.state)
     SELECT source, structure, stage, action, round(sum(m), 6) AS mass FROM walked GROUP BY ALL""")
 def forward_transformations(spark, d):
     """What is played from each structure, by ply window and weighted by flow."""
     edges, nodes = _graph(spark, d)
-    rows = graph.forward_shares(edges, nodes).join(graph.flow(edges, nodes, fx.MAX_PLY).select("source", F.col("state").alias("parent"), "reach"), ["source", "parent"])
+    rows = graph.forward_shares(edges, nodes).join(graph.flow(edges, nodes).select("source", F.col("state").alias("parent"), "reach"), ["source", "parent"])
     rows = rows.join(nodes.select(F.col("state").alias("parent"), "structure"), "parent")
     stage = F.when(F.col("p_ply") < 2, "early").when(F.col("p_ply") < 4, "middle").otherwise("late")
     return rounded(rows.groupBy("source", "structure", stage.alias("stage"), "action").agg(F.sum(F.col("reach") * F.col("share")).alias("mass")))

@@ -9,7 +9,7 @@ from ..functions import values as v
 from ..operators import evidence, graph, metrics, mining, selection, sequences as seq
 from . import fixture as fx
 from .catalog import query, rounded
-from .study import BOARDS, ITEMS, MI, PLANS, SHUFFLES, _boards, _items, _uses
+from .study import BOARDS, ITEMS, MI, PERMUTED, PLANS, SHUFFLES, _boards, _items, _uses
 
 
 @query(fx.SQL + """, ok AS (SELECT DISTINCT parent, child FROM edges WHERE games >= CASE source WHEN 'expert' THEN 3 WHEN 'population' THEN 8 ELSE 1000000 END),
@@ -99,7 +99,7 @@ def key_translation(spark, d):
     whole = F.concat_ws(" ", "o_orderstatus", (F.col("o_custkey") % 40).cast("string"), F.lit("0"), F.lit("1"))
     cache = fx.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderstatus")).otherwise(whole).alias("key"))
     domain = fx.table(spark, d, "customer").select(F.concat(F.lit("F "), (F.col("c_custkey") % 30).cast("string")).alias("state"))
-    return evidence.translate_keys(cache, domain).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return evidence.translate_keys(cache, domain, 2).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH m AS (SELECT o_orderkey AS id, (o_orderkey * 2654435761 % 65536) << 20 AS w FROM orders) SELECT a.id, b.id AS id2, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS d FROM m a JOIN m b ON a.id < b.id AND bit_count(xor(a.w, b.w)) <= 1")
@@ -118,7 +118,7 @@ def joint_coverage(spark, d):
     edges, nodes = graph.cut(seq.edges(first)), graph.cut(seq.nodes(first))
     known = seq.by_source(first).where("source = 'population'").groupBy("state").count().select("state", (F.col("count") > 5).alias("_p"))
     valued = fx.evals(edges).select("state").distinct().withColumn("_e", F.lit(True))
-    reach = graph.flow(edges, nodes, fx.MAX_PLY).where("source = 'all'").select("state", "reach")
+    reach = graph.flow(edges, nodes).where("source = 'all'").select("state", "reach")
     rows = nodes.join(reach, "state").join(known, "state", "left").join(valued, "state", "left")
     flags = [F.coalesce("_p", F.lit(False)).alias("pop"), F.coalesce("_e", F.lit(False)).alias("eng"), F.col("structure").isin("1,0", "0,1").alias("scope")]
     return rounded(rows.select(*flags, "reach").groupBy("pop", "eng", "scope").agg(F.count(F.lit(1)).alias("states"), F.sum("reach").alias("mass")))
@@ -140,30 +140,18 @@ def keep_first_by_signature(spark, d):
     return evidence.keep_first(fx.table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice"), ["o_custkey", "o_orderstatus"], F.desc("o_totalprice"), "o_orderkey").drop("o_totalprice")
 
 
-@query("WITH x AS (SELECT 1)" + BOARDS + MI + """, sz AS (SELECT g, count(*) AS boards FROM boards GROUP BY g)
-    SELECT g, round(base - conditional, 6) AS mi, boards, CASE WHEN base - conditional >= 0.10 AND "values" >= 2 AND boards >= 5 THEN 'split' WHEN boards < 5 THEN 'too_few' WHEN base - conditional < 0.10 THEN 'no_information' ELSE 'chance' END AS decision
-    FROM base JOIN cond USING (g) JOIN sz USING (g)""")
+@query("WITH x AS (SELECT 1)" + BOARDS + MI + PERMUTED + """, sz AS (SELECT g, count(*) AS boards FROM boards GROUP BY g)
+    SELECT g, round(base - conditional, 6) AS mi, round(p_value, 6) AS p_value, boards, CASE WHEN boards < 5 THEN 'too_few' WHEN base - conditional < 0.10 THEN 'no_information'
+    WHEN p_value < 0.05 AND "values" >= 2 THEN 'split' ELSE 'chance' END AS decision FROM base JOIN cond USING (g) JOIN sz USING (g) JOIN tested USING (g)""")
 def split_decisions(spark, d):
-    """With p-values of 0, as in its SQL: the thresholds on information and size alone. split_decisions_all applies the whole rule."""
-    boards = _boards(spark, d)
-    return rounded(_decided(boards, lambda mi: mi.select("g", F.lit(0.0).alias("p_value"))).select("g", "mi", "boards", "decision"))
-
-
-def _decided(boards, tests):
-    mi = mining.mutual_information(boards, "g", "y", "f", "w")
-    return mining.split_decision(mi, tests(mi), boards.groupBy("g").agg(F.count(F.lit(1)).alias("boards")), "g")
+    """Information, chance (200 shuffles) and size, over all boards."""
+    return split_all(_boards(spark, d))
 
 
 def split_all(boards):
-    """g, mi, p_value, boards, decision by the whole rule, with the permutation test over all boards."""
-    tests = mining.permutation_test(boards, "g", "y", "f", "w", "o_orderkey", SHUFFLES)
-    return rounded(_decided(boards, lambda _: tests).select("g", "mi", "p_value", "boards", "decision"))
-
-
-@query()
-def split_decisions_all(spark, d):
-    """Information, chance and size: the permutation test has too many rows for SQL; tests compare with brute force."""
-    return split_all(_boards(spark, d))
+    mi, tests = mining.mutual_information(boards, "g", "y", "f", "w"), mining.permutation_test(boards, "g", "y", "f", "w", "o_orderkey", SHUFFLES)
+    found = mining.split_decision(mi, tests, boards.groupBy("g").agg(F.count(F.lit(1)).alias("boards")), "g")
+    return rounded(found.select("g", "mi", "p_value", "boards", "decision"))
 
 
 @query(fx.SQL + """, st AS (SELECT *, CAST(least(9, (row_number() OVER (PARTITION BY outcome ORDER BY day_ord, game_id) - 1) * 10 // count(*) OVER (PARTITION BY outcome)) AS INTEGER) AS stratum FROM games),
@@ -247,11 +235,11 @@ def course_compare(spark, d):
     return rounded(rows.where("n_a > 0 AND n_b > 0").select("budget", "n_a", "n_b", (F.col("m_a") - F.col("m_b")).alias("difference")), 4)
 
 
-@query(fx.SQL + """, o AS (SELECT n.structure, s.action, count(*) AS c FROM steps s JOIN nodes n ON n.state = s.state WHERE s.ply < 6 GROUP BY ALL), p AS (SELECT structure, c / sum(c) OVER (PARTITION BY structure) AS p, c FROM o)
+@query(fx.SQL + """, o AS (SELECT n.structure, s.action, count(*) AS c FROM steps s JOIN nodes n ON n.state = s.state GROUP BY ALL), p AS (SELECT structure, c / sum(c) OVER (PARTITION BY structure) AS p, c FROM o)
     SELECT structure, round(-sum(p * log2(p)), 6) + 0 AS ordering_entropy, CAST(sum(c) AS BIGINT) AS steps FROM p GROUP BY structure""")
 def coherence(spark, d):
     """How ordered play is inside each structure: the entropy of what is played there."""
-    steps = seq.number_steps(fx.events(spark, d), "game", ["ts", "event_id"], "event_type", fx.STRUCTURE).where("ply < 6").select("state", "action")
+    steps = seq.number_steps(fx.events(spark, d), "game", ["ts", "event_id"], "event_type", fx.STRUCTURE).select("state", "action")
     rows = steps.join(seq.nodes(fx.first_visits(spark, d)).select("state", "structure"), "state").groupBy("structure", "action").agg(F.count(F.lit(1)).alias("c"))
     p = F.col("c") / F.sum("c").over(Window.partitionBy("structure"))
     return rounded(rows.withColumn("p", p).groupBy("structure").agg((-F.sum(F.col("p") * F.log2("p"))).alias("ordering_entropy"), F.sum("c").alias("steps")))

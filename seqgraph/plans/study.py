@@ -90,23 +90,19 @@ def mutual_information(spark, d):
     return rounded(mining.mutual_information(_boards(spark, d), "g", "y", "f", "w"))
 
 
-@query("WITH x AS (SELECT 1)" + BOARDS.replace("FROM orders JOIN", "FROM (SELECT * FROM orders WHERE o_totalprice >= 400000) orders JOIN") + """, pm AS (SELECT b.*, i AS perm, row_number() OVER (PARTITION BY g, i ORDER BY CAST(o_orderkey AS VARCHAR)) AS at_,
-        row_number() OVER (PARTITION BY g, i ORDER BY sha256(i || ':' || o_orderkey), CAST(o_orderkey AS VARCHAR)) AS drawn FROM boards b, range(1, 20) t(i)),
+PERMUTED = """, pm AS MATERIALIZED (SELECT b.*, i AS perm, row_number() OVER (PARTITION BY g, i ORDER BY CAST(o_orderkey AS VARCHAR)) AS at_,
+        row_number() OVER (PARTITION BY g, i ORDER BY sha256(i || ':' || o_orderkey), CAST(o_orderkey AS VARCHAR)) AS drawn FROM boards b, range(1, 201) t(i)),
     sh AS (SELECT a.g, a.perm, a.f, b.y, a.w FROM pm a JOIN pm b ON a.g = b.g AND a.perm = b.perm AND a.at_ = b.drawn),
-    every AS (SELECT g, 0 AS perm, f, y, w FROM boards UNION ALL SELECT g, perm, f, y, w FROM sh),
-    base AS (SELECT g, perm, -sum(p * log2(p)) AS base FROM (SELECT g, perm, y, sum(w) / sum(sum(w)) OVER (PARTITION BY g, perm) AS p FROM every GROUP BY g, perm, y) GROUP BY g, perm),
-    given AS (SELECT g, perm, f, -sum(p * log2(p)) AS h, sum(w) AS w FROM (SELECT g, perm, f, y, sum(w) AS w, sum(w) / sum(sum(w)) OVER (PARTITION BY g, perm, f) AS p FROM every GROUP BY g, perm, f, y) GROUP BY g, perm, f),
-    mi AS (SELECT g, perm, base - sum(w * h) / sum(w) AS mi FROM given JOIN base USING (g, perm) GROUP BY g, perm, base)
-    SELECT o.g, round(o.mi, 6) AS mi, round((count(*) FILTER (n.mi >= o.mi - 1e-9) + 1) / (count(*) + 1), 6) AS p_value FROM mi o JOIN mi n ON n.g = o.g AND n.perm > 0 WHERE o.perm = 0 GROUP BY o.g, o.mi""")
-def permutation_test(spark, d):
-    """A check of permutation_test_all: the large orders and 19 shuffles, as in its SQL. A label shuffle is dealt by hashes, so both engines draw the same."""
-    big = fx.table(spark, d, "orders").where("o_totalprice >= 400000").select("o_orderkey")
-    return rounded(mining.permutation_test(_boards(spark, d).join(big, "o_orderkey", "left_semi"), "g", "y", "f", "w", "o_orderkey", 19))
+    every AS MATERIALIZED (SELECT g, perm, f, y, sum(w) AS w FROM (SELECT g, 0 AS perm, f, y, w FROM boards UNION ALL SELECT g, perm, f, y, w FROM sh) GROUP BY g, perm, f, y),
+    pbase AS (SELECT g, perm, -sum(p * log2(p)) AS base FROM (SELECT g, perm, y, sum(w) / sum(sum(w)) OVER (PARTITION BY g, perm) AS p FROM every GROUP BY g, perm, y) GROUP BY g, perm),
+    pgiven AS (SELECT g, perm, f, -sum(p * log2(p)) AS h, sum(w) AS w FROM (SELECT g, perm, f, y, sum(w) AS w, sum(w) / sum(sum(w)) OVER (PARTITION BY g, perm, f) AS p FROM every GROUP BY g, perm, f, y) GROUP BY g, perm, f),
+    pmi AS (SELECT g, perm, base - sum(w * h) / sum(w) AS mi FROM pgiven JOIN pbase USING (g, perm) GROUP BY g, perm, base),
+    tested AS (SELECT o.g, o.mi, (count(*) FILTER (n.mi >= o.mi - 1e-9) + 1) / (count(*) + 1) AS p_value FROM pmi o JOIN pmi n ON n.g = o.g AND n.perm > 0 WHERE o.perm = 0 GROUP BY o.g, o.mi)"""
 
 
-@query()
-def permutation_test_all(spark, d):
-    """On all boards with the reference's number of shuffles: too many rows for SQL; tests compare with brute force."""
+@query("WITH x AS (SELECT 1)" + BOARDS + PERMUTED + """ SELECT g, round(mi, 6) AS mi, round(p_value, 6) AS p_value FROM tested""")
+def permutation_test(spark, d):
+    """On all boards, 200 shuffles; a label shuffle is dealt by hashes, so both engines draw the same."""
     return rounded(mining.permutation_test(_boards(spark, d), "g", "y", "f", "w", "o_orderkey", SHUFFLES))
 
 
@@ -167,7 +163,7 @@ def distinctive_features(spark, d):
 def rules(spark, d):
     first = graph.cut(fx.first_visits(spark, d))
     edges, nodes = graph.cut(seq.edges(first)), graph.cut(seq.nodes(first))
-    reach = graph.flow(edges, nodes, fx.MAX_PLY).where("source = 'all'").select("state", F.col("reach").alias("weight"))
+    reach = graph.flow(edges, nodes).where("source = 'all'").select("state", F.col("reach").alias("weight"))
     boards = nodes.select("state", F.col("structure").alias("condition")).join(reach, "state")
     return rounded(mining.derive_rules(metrics.distributions(edges).where("source = 'expert'").select("state", "action", "p"), boards, 0.3, 2, 0.25))
 
@@ -200,7 +196,7 @@ def _items(spark, d):
     dist, evals = metrics.distributions(edges), fx.evals(edges)
     best = evals.groupBy("state").agg(F.max("ep").alias("best_ep"))
     losses = evals.join(best, "state").select("state", "action", (F.col("best_ep") - F.col("ep")).alias("loss"))
-    reach = graph.flow(edges, nodes, fx.MAX_PLY).where("source = 'population'").select("state", "reach")
+    reach = graph.flow(edges, nodes).where("source = 'population'").select("state", "reach")
     base = dist.where("source = 'population'").join(losses, ["state", "action"]).groupBy("state").agg((F.sum(F.col("p") * F.col("loss")) / F.sum("p")).alias("base_loss")).join(reach, "state")
     top = metrics.top_per_group(dist.where("source = 'expert'"), "state", 2, F.desc("p"), "action").select("state", "action", "rank")
     # answers differ by state, so each state of an item is one scope row with its own answers
@@ -277,17 +273,10 @@ def schemas(spark, d):
     return selection.schemas(_uses(spark, d), bundles)
 
 
-@query(PLANS + """, sets AS (SELECT plan, list_sort(list(component)) AS m, count(*) AS n FROM uses WHERE component LIKE '%:0' GROUP BY plan HAVING count(*) <= 3)
+@query(PLANS + """, sets AS (SELECT plan, list(DISTINCT component) AS m, count(DISTINCT component) AS n FROM uses GROUP BY plan)
     SELECT a.plan AS small, b.plan AS large FROM sets a JOIN sets b ON a.n < b.n AND list_has_all(b.m, a.m)""")
 def containment(spark, d):
-    """A check of containment_all: sets of at most three ':0' components, as in its SQL."""
-    rows = _uses(spark, d).where("component LIKE '%:0'").groupBy(F.col("plan").alias("id")).agg(F.collect_list("component").alias("members")).where(F.size("members") <= 3)
-    return selection.containment(rows)
-
-
-@query()
-def containment_all(spark, d):
-    """Strict subsets among all plans' whole component sets: too many pairs for SQL; tests compare with brute force."""
+    """Strict subsets among all plans' whole component sets."""
     return selection.containment(_uses(spark, d).groupBy(F.col("plan").alias("id")).agg(F.collect_list("component").alias("members")))
 
 

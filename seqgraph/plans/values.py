@@ -17,7 +17,7 @@ def _views(spark, d):
 
 def _reach(spark, d):
     first = graph.cut(fx.first_visits(spark, d))
-    return graph.flow(graph.cut(seq.edges(first)), graph.cut(seq.nodes(first)), fx.MAX_PLY)
+    return graph.flow(graph.cut(seq.edges(first)), graph.cut(seq.nodes(first)))
 
 
 REGRET = """, best AS (SELECT state, max(ep) AS best_ep FROM evals GROUP BY state),
@@ -25,19 +25,20 @@ REGRET = """, best AS (SELECT state, max(ep) AS best_ep FROM evals GROUP BY stat
         FROM dist JOIN evals USING (state, action) JOIN best USING (state) GROUP BY source, state)"""
 
 
-@query(fx.SQL + REGRET + " SELECT source, state, round(regret, 6) AS regret, round(best_ep, 6) AS best_ep, round(mass_covered, 6) AS mass_covered, n FROM regret")
+@query(fx.SQL + REGRET + " SELECT source, state, round(round(regret, 12), 6) AS regret, round(best_ep, 6) AS best_ep, round(mass_covered, 6) AS mass_covered, n FROM regret")
 def expected_regret(spark, d):
     _, dist, evals = _views(spark, d)
-    return rounded(metrics.expected_regret(dist, evals))
+    return rounded(rounded(metrics.expected_regret(dist, evals), 12))
 
 
 @query(fx.SQL + REGRET + """, both_ AS (SELECT state, max(regret) FILTER (source = 'expert') AS e, max(regret) FILTER (source = 'population') AS p FROM regret GROUP BY state)
-    SELECT b.state, round(e, 6) AS expert_regret, round(p, 6) AS population_regret, round(p - e, 6) + 0 AS gap, round(r.reach, 6) AS reach,
-    round(r.reach * CASE WHEN p - e IS NULL THEN 0 ELSE greatest(p - e, 0) END, 6) AS priority FROM both_ b LEFT JOIN reach r ON r.state = b.state AND r.source = 'population'""")
+    SELECT b.state, round(round(e, 12), 6) AS expert_regret, round(round(p, 12), 6) AS population_regret, round(round(p - e, 12), 6) + 0 AS gap, round(round(r.reach, 12), 6) AS reach,
+    round(round(r.reach * CASE WHEN p - e IS NULL THEN 0 ELSE greatest(p - e, 0) END, 12), 6) AS priority FROM both_ b LEFT JOIN reach r ON r.state = b.state AND r.source = 'population'""")
 def study_priority(spark, d):
     """Population regret over the experts': a gap is null where either is unknown; then it adds no priority."""
     _, dist, evals = _views(spark, d)
-    return rounded(metrics.gaps(metrics.expected_regret(dist, evals), _reach(spark, d)))
+    # twice rounded on both sides: a value at half a digit doesn't hang on the order of a sum
+    return rounded(rounded(metrics.gaps(metrics.expected_regret(dist, evals), _reach(spark, d)), 12))
 
 
 PAIRS = """, known AS (SELECT state FROM dist WHERE source = 'expert' INTERSECT SELECT state FROM dist WHERE source = 'population'),
@@ -151,16 +152,10 @@ def bitboard_features(spark, d):
     return _masks(spark, d).select("id", bb.islands(w).alias("islands"), bb.isolated(w).alias("isolated"), bb.doubled(w).alias("doubled"), bb.open_files(w, b).alias("open_files"), bb.semi_open_files(w, b).alias("semi_open"), bb.centre(w, b).alias("centre"), bb.distance(w, b).alias("distance"))
 
 
-@query(f"""SELECT id, count(*) FILTER (NOT blocked) AS passed FROM (SELECT m.id, s.i, (SELECT count(*) FROM range(64) t(j) WHERE j // 8 > s.i // 8 AND abs(j % 8 - s.i % 8) <= 1 AND (m.b >> j) & 1 = 1) > 0 AS blocked
-    FROM (SELECT * FROM ({MASKS}) WHERE id % 20 = 0) m CROSS JOIN range(64) s(i) WHERE (m.w >> s.i) & 1 = 1) GROUP BY id""")
+@query(f"""WITH m AS ({MASKS}), s AS (SELECT i, sum(1::UBIGINT << CAST(j AS INTEGER)) AS ahead FROM range(56) a(i), range(64) b(j) WHERE j // 8 > i // 8 AND abs(j % 8 - i % 8) <= 1 GROUP BY i)
+    SELECT id, CAST(sum(CASE WHEN ((w >> CAST(i AS INTEGER)) & 1) = 1 AND (b::UBIGINT & ahead::UBIGINT) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM m CROSS JOIN s WHERE bit_count(w) > 0 GROUP BY id""")
 def passed_pawns(spark, d):
-    """A check of passed_pawns_all: every 20th mask, as in its SQL, which enumerates squares."""
-    return passed_pawns_all(spark, d).where("id % 20 = 0")
-
-
-@query()
-def passed_pawns_all(spark, d):
-    """On all masks; tests compare with brute force."""
+    """On all masks (their bits lie between 8 and 55); tests compare with brute force."""
     rows = _masks(spark, d).select("id", bb.passed(F.col("w"), F.col("b")).cast("long").alias("passed"), F.bit_count("w").alias("n"))
     return rows.where("n > 0").select("id", "passed")
 

@@ -12,6 +12,10 @@ from ..functions import chess
 HEADERS = ("Event", "Date", "White", "Black", "WhiteElo", "BlackElo", "Result", "Variant", "SetUp", "FEN", "TimeControl")
 
 
+#: Names of the ordinary game.
+VARIANTS = ("", "standard", "chess", "normal")
+
+
 def read_games(spark: SparkSession, path: str) -> DataFrame:
     """game_id (a hash of the text), one column for each header, movetext. Splits of large files stay splittable."""
     rows = spark.read.option("lineSep", "\n[Event ").text(path).where("trim(value) <> ''")
@@ -23,13 +27,20 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.xxhash64("text").alias("game_id"), *[header(h).alias(h) for h in HEADERS], moves.alias("movetext"))
 
 
+def both_at_least(white, black, least: int):
+    """Whether both ratings are known and reach `least`."""
+    return F.when(white.isNotNull() & black.isNotNull(), F.least(white, black) >= least).otherwise(False)
+
+
 def with_reason(games: DataFrame, minimum: int = 0) -> DataFrame:
     """Adds outcome (0 white, 1 draw, 2 black), strong (both ratings >= 2200) and the last failing header check's reason."""
     outcome = F.when(F.col("Result") == "1-0", 0).when(F.col("Result") == "1/2-1/2", 1).when(F.col("Result") == "0-1", 2)
     white, black = (F.col(c).try_cast("int") for c in ("WhiteElo", "BlackElo"))
     low = F.when(white.isNotNull() & black.isNotNull(), F.least(white, black))
-    rows = games.withColumn("outcome", outcome).withColumn("strong", F.coalesce(low >= 2200, F.lit(False)))
-    failed = F.when((F.col("FEN") != "") | (F.col("SetUp") == "1"), "start").when(~F.lower("Variant").isin("", "standard"), "variant").when(F.col("outcome").isNull(), "unknown_result")
+    rows = games.withColumn("outcome", outcome).withColumn("strong", both_at_least(white, black, 2200))
+    placed = F.coalesce(F.trim("FEN"), F.lit(""))
+    own_start = (placed != "") & (F.array_join(F.slice(F.split(placed, r"\s+"), 1, 4), " ") != chess.START)
+    failed = F.when(own_start, "start").when(~F.lower(F.trim(F.coalesce("Variant", F.lit("")))).isin(*VARIANTS), "variant").when(F.col("outcome").isNull(), "unknown_result")
     rating = F.when(F.coalesce(low < minimum, F.lit(minimum > 0)), "rating")
     return rows.withColumn("reason", F.coalesce(failed, rating))
 

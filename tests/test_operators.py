@@ -21,7 +21,7 @@ def toy(spark):
 
 
 def test_flow(toy):
-    got = {r["state"]: r for r in graph.flow(*toy, 4).collect()}
+    got = {r["state"]: r for r in graph.flow(*toy).collect()}
     reach = {s: round(r["reach"], 9) for s, r in got.items()}
     assert reach == {"E": 1, "A": 0.6, "B": 0.4, "C": 0.23, "D": 0.35, "F": 0.35}
     assert got["A"]["leakage"] == pytest.approx(0.7) and got["C"]["ignored_back_mass"] == pytest.approx(0.35) and got["C"]["paths"] == 2
@@ -30,17 +30,28 @@ def test_flow(toy):
 def test_parents_lines_coverage(spark, toy):
     edges, nodes = toy
     assert {r["state"]: (r["parents_in"], r["parents_all"]) for r in graph.parents(edges, nodes).collect()}["C"] == (2, 3)
-    lines = {r["state"]: (r["line"], math.exp(r["logp"])) for r in graph.best_lines(edges, nodes, 4).collect()}
+    lines = {r["state"]: (r["line"], math.exp(r["logp"])) for r in graph.best_lines(edges, nodes).collect()}
     assert lines["C"][0] == "EA AC" and lines["C"][1] == pytest.approx(0.18)
-    caught = graph.union_coverage(edges, nodes, spark.createDataFrame([("C",), ("F",), ("B",)], "state string"), 4)
+    caught = graph.union_coverage(edges, nodes, spark.createDataFrame([("C",), ("F",), ("B",)], "state string"))
     assert {r["state"]: round(r["reach"], 9) for r in caught.collect()} == {"B": 0.4, "C": 0.18}
 
 
-def test_dwell(toy):
-    curve = {(r["structure"], r["step"]): round(r["inside"], 9) for r in graph.dwell(*toy, 3).collect()}
-    # s1 is entered at A (60), B (40) and C (10 from F); A keeps .3 in C, B .125
-    assert curve[("s1", 0)] == 1 and curve[("s1", 1)] == pytest.approx((60 * 0.3 + 40 * 0.125) / 110)
-    assert curve[("s2", 1)] == 1 and ("s2", 2) not in curve  # all of D goes on to F, and F leaves
+def test_dwell_and_exits(toy):
+    edges, nodes = toy
+    flow = graph.flow(edges, nodes).cache()
+    enter = {r["state"]: round(r["enter"], 9) for r in flow.collect()}
+    assert enter == {"E": 1, "A": 0.6, "B": 0.4, "C": 0, "D": 0.35, "F": 0}
+    curve = graph.dwell(edges, nodes, flow, 20).cache()
+    inside = {(r["structure"], r["step"]): round(r["inside"], 9) for r in curve.collect()}
+    # s1 is entered at A and B; A keeps .3 in C, B .125; C has no way on
+    assert inside[("s1", 0)] == 1 and inside[("s1", 1)] == pytest.approx(0.23) and ("s1", 2) not in inside
+    assert inside[("s2", 1)] == 1 and ("s2", 2) not in inside  # all of D goes on to F, and F leaves
+    stats = {r["structure"]: r for r in graph.dwell_stats(curve).collect()}
+    assert stats["s1"]["mean_dwell"] == pytest.approx(1.23) and stats["s1"]["median_dwell"] == 1 and stats["s2"]["median_dwell"] == 2 and stats["s1"]["exit_within_two"] == 1
+    out = {(r["structure"], r["next_structure"], r["action"]): (r["mass"], r["exit_ply"]) for r in graph.structure_edges(edges, nodes, flow).collect()}
+    assert out[("s1", "s2", "BD")] == (pytest.approx(0.35), 1) and out[("s1", None, "AOUT")] == (pytest.approx(0.42), 1)
+    assert out[("s1", None, None)] == (pytest.approx(0.23), 2) and out[("s2", "s1", "FC")] == (pytest.approx(0.35), 4)
+    assert sum(m for (s, _, _), (m, _) in out.items() if s == "s1") == pytest.approx(1)  # all that enters leaves or leaks
 
 
 def test_first_visits(spark):

@@ -13,7 +13,7 @@ from seqgraph.plans import catalog, core, more, study, values  # noqa: F401  (im
 
 
 def test_passed_pawns_on_all_masks(spark, small):
-    got = {r["id"]: r["passed"] for r in catalog.QUERIES["passed_pawns_all"](spark, small).collect()}
+    got = {r["id"]: r["passed"] for r in catalog.QUERIES["passed_pawns"](spark, small).collect()}
     want = {}
     for r in values._masks(spark, small).collect():
         own, other = ([s for s in range(64) if r[k] >> s & 1] for k in "wb")
@@ -50,14 +50,14 @@ def boards(spark, small):
 
 
 def test_permutations_of_all_boards(spark, small, boards):
-    got = {r["g"]: (r["mi"], r["p_value"]) for r in catalog.QUERIES["permutation_test_all"](spark, small).collect()}
+    got = {r["g"]: (r["mi"], r["p_value"]) for r in catalog.QUERIES["permutation_test"](spark, small).collect()}
     assert set(got) == set(boards[1])
     for g, (mi, p) in boards[1].items():
         assert got[g] == (pytest.approx(mi, abs=1e-6), pytest.approx(p, abs=1e-6))
 
 
 def test_split_decisions_with_p_values(spark, small, boards):
-    got = {r["g"]: (r["p_value"], r["boards"], r["decision"]) for r in catalog.QUERIES["split_decisions_all"](spark, small).collect()}
+    got = {r["g"]: (r["p_value"], r["boards"], r["decision"]) for r in catalog.QUERIES["split_decisions"](spark, small).collect()}
     sizes = Counter(r[1] for r in boards[0])
     want = {}
     for g, (mi, p) in boards[1].items():
@@ -75,7 +75,7 @@ def test_chance_is_not_a_split(spark):
 
 
 def test_containment_of_whole_sets(spark, small):
-    got = [(r["small"], r["large"]) for r in catalog.QUERIES["containment_all"](spark, small).collect()]
+    got = [(r["small"], r["large"]) for r in catalog.QUERIES["containment"](spark, small).collect()]
     sets = defaultdict(set)
     for r in study._uses(spark, small).collect():
         sets[r["plan"]].add(r["component"])
@@ -103,12 +103,12 @@ def test_counts_of_whole_games(spark, small):
             want["|".join(sorted(past)), action, outcome] += 1
             past.append(action)
     got = Counter()
-    for r in catalog.QUERIES["edges_complete_all"](spark, small).collect():
+    for r in catalog.QUERIES["edges_complete"](spark, small).collect():
         got.update({(r["state"], r["action"], k): r[name] for k, name in enumerate("wdb") if r[name]})
     assert got == want and max(map(len, games.values())) > 6 and sum(got.values()) == len(rows) + len(games)
 
 
-@pytest.mark.parametrize("name", ["move_table_all", "nodes_all", "provenance_all", "position_source_coverage_all", "universes_all"])
+@pytest.mark.parametrize("name", ["move_table", "nodes", "provenance", "position_source_coverage", "universes"])
 def test_whole_games_in_sql(spark, small, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
