@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import shared_dir
+
 try:
     _libc = ctypes.CDLL("libc.so.6")
     _libc.malloc_trim  # noqa: B018
@@ -26,17 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="seqgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/seqgraph/{label}-{uuid.uuid4().hex}"
+    """A path in this application's part of the shared folder, which `operators.graph.clean` removes."""
+    return f"{shared_dir(spark)}/seqgraph/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
