@@ -51,5 +51,5 @@ def test_start_and_castled(facts):
 def test_pawns_mirror(facts):
     """Black's facts are white's on the board turned upside down."""
     a, b = facts("4k3/8/8/2p1p3/8/3P4/8/4K3 w - -", "4k3/8/3p4/8/2P1P3/8/8/4K3 b - -")
-    assert (a["backward_white"], b["backward_black"]) == (1, 1) and (a["backward_black"], b["backward_white"]) == (0, 0)
+    assert (a["backward_white"], b["backward_black"]) == (1, 1) and (a["backward_black"], b["backward_white"]) == (2, 2)
     assert (a["passed_white"], b["passed_black"]) == (0, 0) and (a["isolated_black"], b["isolated_white"]) == (2, 2) and a["semi_open_white"] == b["semi_open_black"]
