@@ -59,14 +59,14 @@ def same_prescriptions(spark, d):
     return course.same_prescriptions(rows)
 
 
-_BOARDS = """WITH boards AS (SELECT o_orderkey AS state, o_totalprice / 500000 AS loss_pop, (o_orderkey % 40) / 100000.0 AS reach FROM orders),
-    schemas AS (SELECT l_orderkey AS state, min(l_extendedprice) / 300000 AS loss FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), decisions AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS item, l_orderkey AS state, l_quantity / 1000 AS loss FROM lineitem)"""
+_BOARDS = """WITH boards AS (SELECT o_orderkey AS state, o_totalprice / 499979 AS loss_pop, (o_orderkey % 40) / 100000.0 AS reach FROM orders),
+    schemas AS (SELECT l_orderkey AS state, min(l_extendedprice) / 299993 AS loss FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), decisions AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS item, l_orderkey AS state, l_quantity / 1000 AS loss FROM lineitem)"""
 
 
 def _residuals(spark, d):
     lines = fx.table(spark, d, "lineitem")
-    boards = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("state"), (F.col("o_totalprice") / 500000).alias("loss_pop"), (F.col("o_orderkey") % 40 / 100000.0).alias("reach"))
-    schemas = lines.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("state")).agg((F.min("l_extendedprice") / 300000).alias("loss"))
+    boards = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("state"), (F.col("o_totalprice") / 499979).alias("loss_pop"), (F.col("o_orderkey") % 40 / 100000.0).alias("reach"))
+    schemas = lines.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("state")).agg((F.min("l_extendedprice") / 299993).alias("loss"))
     return lines, boards, schemas
 
 
