@@ -164,17 +164,16 @@ def enrichment_queue(spark, d):
     first = fx.first_visits(spark, d)
     known = seq.by_source(first).where("source = 'expert'").select("state")
     asked = seq.edges(first).where("source = 'population'").select(F.col("parent").alias("state"))
-    return seq.nodes(first).select("state", "min_ply").join(known, "state", "left_anti").join(asked, "state", "left_semi")
+    return seq.nodes(first).select("state", "min_ply").join(known, "state", "left_anti").join(asked, "state", "left_semi").orderBy("min_ply", "state")
 
 
-@query(fx.SQL + """ SELECT e.child AS state, min(n.min_ply + 1) AS depth FROM edges e JOIN nodes n ON n.state = e.parent
-    WHERE e.child NOT IN (SELECT state FROM nodes) GROUP BY e.child""")
+@query(fx.SQL + """ SELECT state, min_ply AS depth FROM nodes WHERE state NOT IN (SELECT state FROM fvs WHERE source = 'expert') OR state NOT IN (SELECT state FROM fvs WHERE source = 'population')""")
 def crawl_frontier(spark, d):
-    """Targets that no snapshot exists for, with their least depth."""
-    first = fx.first_visits(spark, d)
-    known = seq.nodes(first)
-    rows = seq.edges(first).join(known, F.col("parent") == F.col("state")).select("child", (F.col("min_ply") + 1).alias("depth"))
-    return rows.join(known.select(F.col("state").alias("child")), "child", "left_anti").groupBy(F.col("child").alias("state")).agg(F.min("depth").alias("depth"))
+    """States that one of two sources has no snapshot of, in the order that a crawl takes them: two anti joins, each state once."""
+    first = graph.cut(fx.first_visits(spark, d))
+    states, known = seq.nodes(first).select("state", F.col("min_ply").alias("depth")), seq.by_source(first)
+    missing = lambda s: states.join(known.where(F.col("source") == s).select("state").distinct(), "state", "left_anti")
+    return missing("expert").union(missing("population")).distinct().orderBy("depth", "state")
 
 
 @query("""SELECT c_custkey, c_name, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
@@ -203,11 +202,11 @@ def universes(spark, d):
 
 
 @query("""SELECT o_orderpriority, o_orderstatus, year(o_orderdate) AS year, count(*) AS n, count(*) FILTER (c_acctbal >= 0) AS r0, count(*) FILTER (c_acctbal >= 2500) AS r1,
-    count(*) FILTER (c_acctbal >= 5000) AS r2, count(*) FILTER (c_acctbal >= 7500) AS r3, CAST(grouping(o_orderpriority, o_orderstatus, year) AS BIGINT) AS level
+    count(*) FILTER (c_acctbal >= 5000) AS r2, count(*) FILTER (c_acctbal >= 7500) AS r3, count(*) FILTER (c_acctbal >= 9000) AS r4, count(*) FILTER (c_acctbal >= 9500) AS r5, CAST(grouping(o_orderpriority, o_orderstatus, year) AS BIGINT) AS level
     FROM (SELECT *, year(o_orderdate) AS year FROM orders) JOIN customer ON c_custkey = o_custkey GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), (year), ())""".replace("year(o_orderdate) AS year, count(*) AS n", "year, count(*) AS n", 1))
 def header_audit(spark, d):
-    """Counts by priority, status and year with four rating bounds, in one scan."""
+    """Counts by priority, status and year with six rating bounds, in one scan."""
     rows = fx.table(spark, d, "orders").join(fx.table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).withColumn("year", F.year("o_orderdate").cast("long"))
     keys = ["o_orderpriority", "o_orderstatus", "year"]
     found = rows.groupingSets([[k] for k in keys] + [[]], *keys)
-    return found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("c_acctbal") >= b).alias(f"r{i}") for i, b in enumerate((0, 2500, 5000, 7500))], F.grouping_id(*keys).alias("level"))
+    return found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("c_acctbal") >= b).alias(f"r{i}") for i, b in enumerate((0, 2500, 5000, 7500, 9000, 9500))], F.grouping_id(*keys).alias("level"))

@@ -120,10 +120,23 @@ def _traj(spark, d):
       SELECT event AS items, 1 AS size, weight, t FROM t1, tot
       UNION ALL SELECT a.event || '+' || b.event, 2, a.weight, t FROM t1 a JOIN t1 b ON a.traj = b.traj AND a.event < b.event, tot
       UNION ALL SELECT a.event || '+' || b.event || '+' || c.event, 3, a.weight, t FROM t1 a JOIN t1 b ON a.traj = b.traj AND a.event < b.event JOIN t1 c ON c.traj = a.traj AND b.event < c.event, tot
+      UNION ALL SELECT a.event || '+' || b.event || '+' || c.event || '+' || e.event, 4, a.weight, t FROM t1 a JOIN t1 b ON a.traj = b.traj AND a.event < b.event JOIN t1 c ON c.traj = a.traj AND b.event < c.event JOIN t1 e ON e.traj = a.traj AND c.event < e.event, tot
     ) GROUP BY items, size HAVING sum(weight) / any_value(t) >= 0.5""")
 def frequent_sets(spark, d):
     events, weights = _traj(spark, d)
-    return rounded(mining.frequent_sets(events, weights, 0.5, 3))
+    return rounded(mining.frequent_sets(events, weights, 0.5, 4))
+
+
+@query(fx.SQL + TRAJ + """, gw AS (SELECT game_id AS traj, CAST(outcome AS VARCHAR) AS grp, weight FROM games JOIN wt ON wt.traj = game_id), gt AS (SELECT grp, sum(weight) AS total FROM gw GROUP BY grp),
+    e2 AS (SELECT ev2.traj, event, grp, weight FROM ev2 JOIN gw USING (traj)),
+    s AS (SELECT grp, items, size, sum(weight) / any_value(total) AS support FROM (SELECT grp, event AS items, 1 AS size, weight FROM e2 UNION ALL SELECT a.grp, a.event || '+' || b.event, 2, a.weight FROM e2 a JOIN e2 b ON a.traj = b.traj AND a.event < b.event
+        UNION ALL SELECT a.grp, a.event || '+' || b.event || '+' || c.event, 3, a.weight FROM e2 a JOIN e2 b ON a.traj = b.traj AND a.event < b.event JOIN e2 c ON c.traj = a.traj AND b.event < c.event) JOIN gt USING (grp) GROUP BY grp, items, size HAVING sum(weight) / any_value(total) >= 0.4)
+    SELECT items, size, grp, round(support, 6) AS support FROM (SELECT *, row_number() OVER (PARTITION BY items ORDER BY round(support, 9) DESC, grp) AS n FROM s) WHERE n = 1""")
+def mined_plans(spark, d):
+    """Sets of events by group of games, each under the group where it is most frequent."""
+    events, weights = _traj(spark, d)
+    weights = weights.join(fx.games(spark, d).select(F.col("game_id").alias("traj"), F.col("outcome").cast("string").alias("grp")), "traj")
+    return rounded(mining.best_group(mining.grouped_sets(events, weights, 0.4, 3)))
 
 
 @query(fx.SQL + TRAJ + """, o AS (SELECT game_id AS traj, min(ply) FILTER (action = 'view') AS pa, min(ply) FILTER (action = 'click') AS pb FROM steps GROUP BY game_id)

@@ -34,7 +34,7 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[Dat
 
 
 def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Writes beside the table, then swaps: readers see the old table or the new one, and a failed job leaves the old."""
+    """Writes beside the table, then swaps by two renames: a failed job leaves the old table; between the renames readers find none and must try again."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
