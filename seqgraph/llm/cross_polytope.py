@@ -184,9 +184,11 @@ def search(
     # the sample: one vector of each of at most `sample` query ids
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample).toArrow()
     some = some.take(pa.array(np.unique(some.column("vec_id").to_numpy(), return_index=True)[1]))
-    nearest = v.exact(pool, some, k)
-    nearest = nearest.groupBy("query_id", "vec_id").agg(F.max_by(F.struct("score", "vector"), "score").alias("best")).select("query_id", "vec_id", "best.*")
-    nearest = v.ranked(nearest, k).join(nearest.drop("score"), ["query_id", "vec_id"]).toArrow()
+    nearest = v.ranked(v.exact(pool, some, k), k).select("query_id", "vec_id").toArrow()
+    wanted = spark.createDataFrame(nearest.select(["vec_id"])).distinct()  # at most `sample` times k ids
+    found = pool.join(F.broadcast(wanted), "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector")).toArrow()
+    place = dict(zip(found.column("vec_id").to_pylist(), range(len(found))))
+    nearest = nearest.append_column("vector", found.column("vector").combine_chunks().take(pa.array([place[i] for i in nearest.column("vec_id").to_pylist()])))
     reach = fitted_reach(h, nearest, some, recall)
 
     # how the tables are dealt is a matter of sizes alone: what is met doesn't depend on it
@@ -208,6 +210,6 @@ def search(
     for s in range(slabs):
         slab = short.where(F.pmod(F.xxhash64("vec_id"), F.lit(slabs)) == s).toArrow()
         if len(slab):
-            more = v.ranked(v.exact(pool, slab, k).drop("vector"), k)
+            more = v.ranked(v.exact(pool, slab, k), k)
             found = found.join(more.select("query_id").distinct(), "query_id", "left_anti").unionByName(more)
     return found

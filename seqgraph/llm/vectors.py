@@ -45,8 +45,11 @@ def block(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
-    """The best k of each query by (score down, vec_id up) with their ranks; an id counts with its best score."""
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    """The best k of each query by (score down, vec_id up) with their ranks; an id counts with its best score.
+
+    One exchange by query serves both the grouping and the ranks.
+    """
+    pairs = pairs.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -68,20 +71,18 @@ def _compared(shared, k: int):
         for batch in batches:
             ids, column = batch.column("vec_id").to_numpy(), batch.column("vector")
             for i in range(0, len(ids), 4096):
-                raw = block(column.slice(i, 4096))
-                x, own = raw.astype(np.float64), ids[i : i + 4096]
+                x, own = block(column.slice(i, 4096)).astype(np.float64), ids[i : i + 4096]
                 for j in range(0, len(q), 512):
                     rough = q[j : j + 512] @ x.T
                     rough[own[None, :] == query_ids[j : j + 512, None]] = -np.inf
                     at, scores = zip(*[best_of(lambda c: (x[c] * y).sum(axis=1), own, r, k) for y, r in zip(q[j : j + 512], rough)])  # noqa: B023
                     n = [len(a) for a in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids[j : j + 512], n)), pa.array(own[np.concatenate(at)]), pa.array(np.concatenate(scores)), column.slice(i, 4096).take(pa.array(np.concatenate(at)))], names=["query_id", "vec_id", "score", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids[j : j + 512], n)), pa.array(own[np.concatenate(at)]), pa.array(np.concatenate(scores))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def exact(rows: DataFrame, slab: pa.Table, k: int) -> DataFrame:
-    """query_id, vec_id, score, vector: exact k best of each block of rows for the queries of a bounded `slab`."""
-    kind = rows.schema["vector"].dataType.simpleString()
+    """query_id, vec_id, score: exact k best of each block of rows for the queries of a bounded `slab`."""
     shared = rows.sparkSession.sparkContext.broadcast((slab.column("vec_id").to_numpy(), block(slab.column("vector")).astype(np.float64)))
-    return rows.mapInArrow(_compared(shared, k), f"query_id long, vec_id long, score double, vector {kind}")
+    return rows.mapInArrow(_compared(shared, k), "query_id long, vec_id long, score double")
