@@ -94,6 +94,20 @@ def test_op5(spark):
     for d, r in got.items():
         assert r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    # the scores again, from the dictionaries and the curve
+    import zstandard
+
+    from seqgraph.llm import compression_quality as cq
+
+    docs = q.table(spark, small, "documents").select("doc_id", "text")
+    model = cq.fit(docs, q.table(spark, small, "labels"))
+    sizes = []
+    for raw in (model["good"], model["bad"]):
+        c = zstandard.ZstdCompressor(level=cq.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append({d: sum(len(c.compress(t.encode()[i : i + cq.BLOCK])) for i in range(0, len((t or "").encode()), cq.BLOCK)) for d, t in documents if t})
+    for d, t in documents:
+        x = (sizes[1][d] - sizes[0][d]) / len(t.encode()) if t else 0.0
+        assert got[d]["score"] == pytest.approx(1 / (1 + np.exp(-(model["intercept"] + model["slope"] * x))), abs=1e-9)
     right = [r["predicted"] == labels[d] for d, r in got.items() if r["held_out"] and d in labels]
     assert np.mean(right) >= 0.9
 

@@ -91,6 +91,21 @@ def test_token_files(spark, docs, none):
     assert token_files.encode_documents(none, path).count() == 0
 
 
+def test_token_files_prune(spark):
+    """A filter on doc_id reads one row group by the index, and none where the Bloom filter has no such id."""
+    path = tokenizer_file("word_bpe_49k.json")
+    out = f"{simhash_dedup.staged(spark.range(1), 'x').inputFiles()[0].rsplit('/', 2)[0]}/orc-prune-{random.random()}"
+    docs = spark.range(6000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    token_files.write_tokens(docs, path, out, partitions=1)
+
+    def read(doc_id):
+        rows = spark.read.orc(out).where(F.col("doc_id") == doc_id).select("doc_id", "tokens")
+        found = len(rows.collect())
+        return found, rows._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert read(4000) == (1, 1000) and read(4001) == (0, 0)
+
+
 def test_substrings(docs, none):
     got = substring_dedup.dedup_substrings(docs, chunk_bytes=2000, bucket_words=50)
     assert got.columns == [c for c in docs.columns if c != "n_words"] + ["n_words", "n_removed", "kept_sha256"]
