@@ -28,6 +28,8 @@ SEED = 42
 SHINGLE = 3
 THRESHOLD = 3
 CROWDED = 4096
+#: Documents of one print beyond which they are dealt over SALTS parts.
+HOT, SALTS = 1_000_000, 64
 
 
 # --- fingerprints ----------------------------------------------------------------------------------------------------
@@ -179,19 +181,24 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, crowded: int = CRO
     return rows.mapInArrow(_compared(threshold), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
     """One row for each row of `docs`: doc_id, print, component_id (the least doc_id of its component).
 
     Repeated rows stay; a null doc_id never names a component unless it has no other member. Null and empty texts
     share print 0 and link like any other. An empty table gives an empty result.
     """
     prints = staged(fingerprints(docs, shingle), "prints")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    classes = staged(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(near_links(classes.select("print"), threshold))
     # print -> root print (itself without links) -> least doc_id over the root's prints
-    placed = classes.join(roots, classes["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "least")
+    placed = classes.join(roots, classes["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "least", "n")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    # a print with many documents (empty ones, copies) is dealt over salts; there are at most rows / hot such prints
+    crowd = classes.where(F.col("n") > hot).select("print", F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    rows = prints.join(F.broadcast(crowd), "print", "left").withColumn("_salt", salt).drop("_hot")
+    named = placed.join(least, "root").select("print", "component_id", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > hot, SALTS - 1).otherwise(0))).alias("_salt"))
+    return rows.join(named, ["print", "_salt"]).select("doc_id", "print", "component_id")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
