@@ -16,7 +16,7 @@ Template: `<turn>role` LF text `</turn>` LF. In texts and roles a control string
 backslash after its `<` (`<` `\\`* `turn` in general), which reads back exactly. Line ends and backslashes of a role
 are written `\\n` and `\\b`.
 
-Defined results: null text and null role count as empty; null turns come first; rows with a null conv_id form one
+Defined results: null text and null role count as empty; null turns come first, as one block; rows with a null conv_id form one
 conversation; repeated rows are turns of their own; an empty table gives no windows.
 """
 

@@ -106,6 +106,22 @@ def test_token_files_prune(spark):
     assert read(4000) == (1, 1000) and read(4001) == (0, 0)
 
 
+def test_unit_coder_tells_colliding_units_apart(monkeypatch):
+    """With hashes of four bits, units of different slices collide; each still gets its own ids."""
+    from seqgraph.llm import common, unit_coder
+
+    class Few:
+        def words(self, data, starts, ends):
+            return common.Hash(47, spaces=True).words(data, starts, ends) & np.uint64(15)
+
+    monkeypatch.setattr(unit_coder, "_HASH", Few())
+    coder = unit_coder.UnitCoder(lambda units: [[len(u), *u] for u, _ in units])
+    for word in [f"word{i}" for i in range(60)]:
+        t = common.Texts(pa.array([word]))
+        ids, _ = coder(t.data, t.starts, t.ends, None, t.first, None)
+        assert ids.tolist() == [len(word), *word.encode()]
+
+
 def test_substrings(docs, none):
     got = substring_dedup.dedup_substrings(docs, chunk_bytes=2000, bucket_words=50)
     assert got.columns == [c for c in docs.columns if c != "n_words"] + ["n_words", "n_removed", "kept_sha256"]
@@ -146,6 +162,8 @@ def test_near_duplicates(spark, docs, none):
         got.setdefault(r["doc_id"], []).append((r["print"], r["component_id"]))
     assert got[3] == got[4] == got[5] == [(0, 3)] and got[1] == got[2][:1] == got[2][1:] and got[1][0][1] == 1
     assert got[None][0][1] is None
+    key = lambda r: (str(r["doc_id"]), r["print"], str(r["component_id"]))
+    assert sorted(map(key, simhash_dedup.near_duplicates(docs, hot=1).collect())) == sorted(map(key, simhash_dedup.near_duplicates(docs).collect()))
     kept = simhash_dedup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8, 9, 10, 11, 12]
