@@ -44,8 +44,10 @@ def line_divergence(line_steps: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.groupBy("line").agg(F.sum(same.cast("long")).alias("agree"), F.min(F.when(~same, F.col("ply"))).alias("first_divergence"))
 
 
-def matching(entries: DataFrame, text: str, volume: str | None = None) -> DataFrame:
-    """Entries whose name, code or aliases contain a text, of one volume if asked."""
+def matching(entries: DataFrame, text: str, volume: str | None = None, mains: DataFrame | None = None, twins: DataFrame | None = None) -> DataFrame:
+    """Entries whose name, code or aliases contain a text, of one volume if asked; only those of `mains` (name) and of `twins` (state) where these are given."""
     has = lambda c: F.contains(F.lower(c), F.lit(text.lower()))
     rows = entries.where(has(F.col("name")) | has(F.col("ecos")) | F.exists(F.split("aliases", ","), has))
+    for key, kept in (("name", mains), ("state", twins)):
+        rows = rows if kept is None else rows.join(kept.select(key), key, "left_semi")
     return rows.where(F.col("ecos").startswith(volume)) if volume else rows
