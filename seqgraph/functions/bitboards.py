@@ -48,43 +48,37 @@ def doubled(board: Column) -> Column:
     return _sum([F.greatest(on_file(board, f) - 1, F.lit(0)) for f in range(8)])
 
 
-def _span_ahead(square: int) -> int:
-    """Squares in front of a white pawn on its file and the files beside it."""
-    rank, f = divmod(square, 8)
-    return sum(1 << (8 * r + g) for r in range(rank + 1, 8) for g in (f - 1, f, f + 1) if 0 <= g < 8)
+def _down(board: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(board, bits)
 
 
-def _span_behind(square: int) -> int:
-    rank, f = divmod(square, 8)
-    return sum(1 << (8 * r + g) for r in range(0, rank) for g in (f - 1, f, f + 1) if 0 <= g < 8)
+def _beside(board: Column) -> Column:
+    """The squares next to the bits that are set, on the files to both sides."""
+    return _down(_and(board, ~FILES[0] & (1 << 64) - 1), 1).bitwiseOR(F.shiftleft(_and(board, ~FILES[7] & (1 << 64) - 1), 1))
 
 
-def _count_squares(own: Column, other: Column, span) -> Column:
-    spans = F.array(*[F.lit(signed(span(s))).cast("long") for s in range(64)])
-    square = F.sequence(F.lit(0), F.lit(63))
-    return F.size(F.filter(square, lambda s: (F.getbit(own, s) == 1) & (other.bitwiseAND(F.get(spans, s)) == 0)))
+def _fill(board: Column, shift) -> Column:
+    """The bits and all squares that lie from them in the direction of `shift`, to the edge."""
+    for step in (8, 16, 32):
+        board = board.bitwiseOR(shift(board, step))
+    return board
+
+
+def _count(board: Column) -> Column:
+    return F.coalesce(F.bit_count(board), F.lit(0))
 
 
 def passed(own: Column, other: Column, white: bool = True) -> Column:
     """Pawns that no enemy pawn can stop or take on their way."""
-    return _count_squares(own, other, _span_ahead if white else _span_behind)
+    shift = _down if white else F.shiftleft
+    behind = _fill(shift(other, 8), shift)
+    return _count(own.bitwiseAND(F.bitwise_not(behind.bitwiseOR(_beside(behind)))))
 
 
 def backward(own: Column, other: Column) -> Column:
     """White pawns with no own pawn level or behind on a neighbouring file whose next square an enemy pawn guards."""
-
-    def support(s: int) -> int:
-        rank, f = divmod(s, 8)
-        return sum(1 << (8 * r + g) for r in range(0, rank + 1) for g in (f - 1, f + 1) if 0 <= g < 8)
-
-    def guards(s: int) -> int:
-        rank, f = divmod(s, 8)
-        return sum(1 << (8 * (rank + 2) + g) for g in (f - 1, f + 1) if 0 <= g < 8 and rank + 2 < 8)
-
-    supports = F.array(*[F.lit(signed(support(s))).cast("long") for s in range(64)])
-    guarded = F.array(*[F.lit(signed(guards(s))).cast("long") for s in range(64)])
-    square = F.sequence(F.lit(0), F.lit(63))
-    return F.size(F.filter(square, lambda s: (F.getbit(own, s) == 1) & (own.bitwiseAND(F.get(supports, s)) == 0) & (other.bitwiseAND(F.get(guarded, s)) != 0)))
+    supported = _beside(_fill(own, F.shiftleft))
+    return _count(own.bitwiseAND(F.bitwise_not(supported)).bitwiseAND(_beside(_down(other, 16))))
 
 
 def centre(white: Column, black: Column) -> Column:
