@@ -15,13 +15,14 @@ _QUEENS = {"wq": "id * 17 % 64", "bq": "c * 29 % 64"}
 
 
 def _boards(spark, d):
-    """id, the twelve masks, castling rights."""
-    rows = _masks(spark, d).join(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c")), "id")
-    bit = lambda s: F.expr(f"shiftleft(1L, cast({s} as int))")
+    """id, the twelve masks, castling rights. Squares are remainders by 64: keys are reduced first, so that no product leaves a long."""
+    rows = _masks(spark, d).join(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(64)).alias("c")), "id")
+    small = lambda s: s.replace("id", "pmod(id, 64)")
+    bit = lambda s: F.expr(f"shiftleft(1L, cast({small(s)} as int))")
     rows = rows.withColumnsRenamed({"w": "wp", "b": "bp"})
     rows = rows.withColumns({p: bit(f"{k} * {a} % 64").bitwiseOR(bit(f"{k} * {b} % 64")) for p, (k, (a, b)) in _KINDS.items()} | {p: bit(e) for p, e in _KINGS.items()})
-    rows = rows.withColumns({p: F.when(F.expr(f"{e} % 4 <> 0"), bit(e)).otherwise(F.lit(0).cast("long")) for p, e in _QUEENS.items()})
-    return rows.withColumn("rights", F.concat(*[F.when(F.expr(f"floor(id / {1 << k}) % 2 = 1"), c).otherwise("") for k, c in enumerate("KQkq")])).drop("c")
+    rows = rows.withColumns({p: F.when(F.expr(f"{small(e)} % 4 <> 0"), bit(e)).otherwise(F.lit(0).cast("long")) for p, e in _QUEENS.items()})
+    return rows.withColumn("rights", F.concat(*[F.when(F.expr(f"id div {1 << k} % 2 = 1"), c).otherwise("") for k, c in enumerate("KQkq")])).drop("c")
 
 
 _one = lambda s: f"(1::UBIGINT << CAST({s} AS INTEGER))"
