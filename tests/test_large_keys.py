@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 #: Customers beyond 85,000 and orders beyond 3.47e9 make products that leave a long; 2^56 + 3 isn't a double.
 KEYS = [(0, 0), (7, 3), (149_999, 85_788), (899_999, 89_999), (8_999_999, 899_999), (3_474_701_533, 14_999), (10**12 + 1, 10**9 + 7), ((1 << 56) + 3, 1 << 40)]
-QUERIES = ["backward_pawns", "bitboard_features", "board_states", "maturity_components", "passed_pawns"]
+QUERIES = ["backward_pawns", "bitboard_features", "board_states", "maturity_components", "passed_pawns", "split_features"]
 
 
 @pytest.fixture(scope="module")
