@@ -137,8 +137,8 @@ _dbl = lambda m: " + ".join(f"greatest({_file(m, f)} - 1, 0)" for f in range(8))
 
 
 def _times(c, k: int):
-    """c * k modulo 2^48 for any long c and k below 2^39: both halves of 24 bits are multiplied apart, so that no product leaves a long."""
-    half = (1 << 24) - 1
+    """c * k modulo 2^48 for any whole c that a long holds and k below 2^39: both halves of 24 bits are multiplied apart, so that no product leaves a long."""
+    c, half = c.cast("long"), (1 << 24) - 1  # of an int, half times k may leave an int
     low, high = c.bitwiseAND(F.lit(half)), F.shiftright(c, 24).bitwiseAND(F.lit(half))
     return (F.shiftleft((high * F.lit(k)).bitwiseAND(F.lit(half)), 24) + low * F.lit(k)).bitwiseAND(F.lit((1 << 48) - 1))
 
