@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
+from .subsets import class_pairs as _class_pairs
 
 #: The greedy choosers work on one (item, state, gain) table of at most this many rows, read to the driver.
 MOST_CELLS = 2_000_000
@@ -96,48 +97,32 @@ def schemas(uses: DataFrame, bundles: DataFrame) -> DataFrame:
 
 
 def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each set's class (id, sign), and the classes of equal sets: sign, members, size, copies. Both are written out once."""
+    """Each set's class (id, class), and the classes of equal sets: class, members, size, copies. Both are written out once."""
     members = F.array_sort(F.array_distinct("members"))
     held = cut(sets.select("id", F.unhex(F.sha2(F.to_json(members).cast("binary"), 256)).alias("sign"), members.alias("members")))
     classes = held.groupBy("sign").agg(F.first("members").alias("members"), F.count(F.lit(1)).alias("copies"))
-    return held.select("id", "sign"), cut(classes.withColumn("size", F.size("members")))
-
-
-def _class_pairs(classes: DataFrame) -> DataFrame:
-    """small, large: the signs of classes of which one is a strict subset of the other."""
-    bits = [F.expr(f"aggregate(members, 0L, (s, m) -> s | if(pmod(xxhash64(m), 256) div 64 = {k}, shiftleft(1L, cast(pmod(xxhash64(m), 64) as int)), 0L))").alias(f"s{k}") for k in range(4)]
-    sets = classes.select("sign", "members", "size", *bits)
-    large = sets.select(F.col("sign").alias("large"), F.explode("members").alias("m"), F.col("size").alias("size2"), *[F.col(f"s{k}").alias(f"l{k}") for k in range(4)])
-    counts = large.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    rarest = sets.select("sign", F.explode("members").alias("m")).join(counts, "m").groupBy("sign").agg(F.min(F.struct("n", "m")).alias("r")).select("sign", F.col("r.m").alias("m"))
-    fits = F.lit(True)
-    for k in range(4):
-        fits = fits & (F.col(f"s{k}").bitwiseAND(F.bitwise_not(F.col(f"l{k}"))) == 0)
-    pairs = sets.drop("members").join(rarest, "sign").join(large, "m").where(F.col("size") < F.col("size2")).where(fits).select(F.col("sign").alias("small"), "large")
-    of = lambda side: classes.select(F.col("sign").alias(side), F.col("members").alias(f"{side}_members"))
-    pairs = pairs.join(of("small"), "small").join(of("large"), "large")
-    return pairs.where(F.size(F.array_except("small_members", "large_members")) == 0).select("small", "large")
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("class"), "sign", "members", F.size("members").alias("size"), "copies"))
+    return cut(held.select("id", "sign").join(classes.select("sign", "class"), "sign").select("id", "class")), classes.drop("sign")
 
 
 def containment(sets: DataFrame) -> DataFrame:
     """Strict subsets among sets: small, large.
 
     Equal sets are one class; only classes are compared, and their pairs are dealt out to the sets at the end. Each
-    class looks among the larger ones that hold its rarest member, so no frequent member makes all pairs; 256-bit
-    signatures sort out most of those before the members themselves are compared.
+    class looks among the larger ones that hold its rarest member, by bitmaps (see `subsets`).
     """
     held, classes = _classes(sets)
     pairs = _class_pairs(classes).withColumnsRenamed({"small": "_s", "large": "_l"})
-    of = lambda side: held.select(F.col("sign").alias(f"_{side[0]}"), F.col("id").alias(side))
+    of = lambda side: held.select(F.col("class").alias(f"_{side[0]}"), F.col("id").alias(side))
     return pairs.join(of("small"), "_s").join(of("large"), "_l").select("small", "large")
 
 
 def containers(sets: DataFrame) -> DataFrame:
     """id, n: in how many of the sets each set is strictly contained, 1 at least. As many as `containment` has pairs, but none is made for copies."""
     held, classes = _classes(sets)
-    copies = classes.select(F.col("sign").alias("large"), "copies")
-    found = _class_pairs(classes).join(copies, "large").groupBy(F.col("small").alias("sign")).agg(F.sum("copies").alias("n"))
-    return held.join(found, "sign").select("id", "n")
+    copies = classes.select(F.col("class").alias("large"), "copies")
+    found = _class_pairs(classes).join(copies, "large").groupBy(F.col("small").alias("class")).agg(F.sum("copies").alias("n"))
+    return held.join(found, "class").select("id", "n")
 
 
 def first_category(rows: DataFrame, key: str, rank: str) -> DataFrame:
